@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from factlattice.llm import exact_dedup, sharding
+from factlattice.llm import exact_dedup, language_id, packing, permutation_index, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.query,
+        "op2_permutation_index": permutation_index.query,
         "op5_sharding": sharding.query,
+        "op6_packing": packing.query,
+        "op7_language_id": language_id.query,
         "op8_exact_dedup": exact_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op8_exact_dedup": exact_dedup.SQL}
