@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factlattice.llm import exact_dedup, language_id, maxent_lm, packing, permutation_index, sharding, warc
+from factlattice.llm import exact_dedup, language_id, maxent_lm, packing, permutation_index, sharding, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_language_id": language_id.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_maxent_lm": maxent_lm.query,
+        "op10_substring_dedup": substring_dedup.query,
     }
 
 
