@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factlattice.llm import exact_dedup, jaccard_join, language_id, maxent_lm, packing, permutation_index, sharding, substring_dedup, warc
+from factlattice.llm import exact_dedup, jaccard_join, language_id, maxent_lm, mixing, packing, permutation_index, sharding, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc": warc.query,
         "op2_permutation_index": permutation_index.query,
         "op3_jaccard_join": jaccard_join.query,
+        "op4_mixing": mixing.query,
         "op5_sharding": sharding.query,
         "op6_packing": packing.query,
         "op7_language_id": language_id.query,
