@@ -15,7 +15,7 @@ def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A document of n breaks has n + 1 lines; LF, CRLF and CR all break, each as long as it is. A null text has none.
     """
     kept = F.regexp_extract_all(F.col(text_col), F.lit(r"(?s)([^\r\n]*(?:\r\n|\n|\r|\z))"), F.lit(1))
-    whole = F.filter(kept, lambda x, k: (k == 0) | (x != "") | F.lit(False))
+    whole = F.filter(kept, lambda x, k: (k == 0) | (x != ""))
     ends_open = F.col(text_col).rlike(r"(?s)(?:\r\n|\n|\r)\z")
     whole = F.when(F.col(text_col).isNull(), F.array().cast("array<string>")).when(F.col(text_col) == "", F.array(F.lit(""))).when(ends_open, F.concat(whole, F.array(F.lit("")))).otherwise(whole)
     rows = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(whole).alias("at", "raw"))

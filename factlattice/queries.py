@@ -487,7 +487,7 @@ def _(spark, sf_dir):
 
 @_query("conditional_format_winner", """
 SELECT l_orderkey AS row, l_linenumber::BIGINT AS col, 'color' AS property, CASE WHEN l_quantity > 40 AND l_linenumber <= 3 THEN 'blue' WHEN l_quantity > 30 THEN 'red' ELSE 'grey' END AS value
-FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) WHERE l_quantity > 30 OR l_quantity < 5""")
+FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) WHERE l_orderkey >= 1 AND (l_quantity > 30 OR l_quantity < 5)""")
 def _(spark, sf_dir):
     cells = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity")).select(F.lit("s").alias("sheet"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").cast("long").alias("column"), F.col("l_quantity").cast("string").alias("raw_value"))
     rules = spark.createDataFrame(
