@@ -132,7 +132,7 @@ class Builder:
         for row in inventory.values():
             row["disposition"] = row["status"] if row["status"] in PARTIAL else "represented"
         document = {
-            "schema": {"name": "document-form", "version": "1.0.0"}, "documentId": "", "sourceFormat": {"namespace": "format", "name": self.source, "version": self.version}, "rootNodeId": self.root,
+            "schema": {"name": "document-facts", "version": "1.0.0"}, "documentId": "", "sourceFormat": {"namespace": "format", "name": self.source, "version": self.version}, "rootNodeId": self.root,
             **{c: rows for c, rows in self.collections.items() if rows},
             "conversion": {
                 "status": status, "capabilityProfile": f"{self.source}-1", "features": self.features, "featureInventory": list(inventory.values()),
