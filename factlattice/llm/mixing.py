@@ -11,7 +11,7 @@ from factlattice.llm.common import SEPARATOR_RUN, Work, documents
 #: Marginals: a target is in proportion to its tokens to this power (1 keeps the shares, 0 makes them equal).
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Values of a marginal that are told apart, those with the most tokens; all others are raked as one, OTHER.
-VALUES, OTHER, MISSING = 200, "(other)", "(none)"
+VALUES, OTHER, MISSING = 64, "(other)", "(none)"
 #: Share of the tokens to draw.
 FRACTION = 0.7
 #: Raking ends when no marginal is off by more than this share, or after so many rounds.
