@@ -188,18 +188,20 @@ def references(fields: DataFrame, entity_rows: DataFrame) -> DataFrame:
     """Edges between entities, with reference_kind id-field, id-list or typed-object.
 
     A string under a key that ends in Id, each string of a list under a key that ends in Ids, and an `id` beside a
-    `type` refer to an entity of the same document that exists; an entity's own id, schemaId and documentId do not.
+    `type` refer to an entity of the same document that exists. An entity's own id does not, nor do schemaId and
+    documentId at its root. The pointer of a list's member ends in its position, which is the ordinal too.
     """
     last = F.element_at(F.split("pointer", "/"), -1)
     parent = F.element_at(F.split("pointer", "/"), -2)
     upper = F.regexp_replace("pointer", r"/[^/]*$", "")
     own = F.create_map(*[F.lit(x) for pair in COLLECTIONS.items() for x in pair])
     strings = fields.filter("value_type = 'string'").withColumn("last", last).withColumn("parent", parent).withColumn("upper", upper)
-    by_field = strings.filter(F.col("last").endswith("Id") & ~F.col("last").isin("schemaId", "documentId") & ~((F.col("depth") == 1) & (F.col("last") == own[F.col("collection")])))
+    own_key = F.coalesce(own[F.col("collection")], F.lit("documentId"))
+    by_field = strings.filter(F.col("last").endswith("Id") & (F.col("last") != own_key) & ~((F.col("depth") == 1) & F.col("last").isin("schemaId", "documentId")))
     by_list = strings.filter(F.col("parent").endswith("Ids") & F.col("last").rlike("^[0-9]+$"))
     typed = fields.filter(F.col("pointer").endswith("/type")).select("document_id", "collection", "entity_id", F.regexp_replace("pointer", r"/[^/]*$", "").alias("upper"))
     by_object = strings.filter("last = 'id'").join(typed, ["document_id", "collection", "entity_id", "upper"], "left_semi")
     shape = lambda df, kind, pointer, ordinal: df.select("document_id", F.col("collection").alias("source_collection"), F.col("entity_id").alias("source_id"), pointer.alias("source_pointer"), ordinal.cast("int").alias("ordinal"), F.col("value_string").alias("target_id"), F.lit(kind).alias("reference_kind"))
-    edges = shape(by_field, "id-field", F.col("pointer"), F.lit(None)).unionByName(shape(by_list, "id-list", F.col("upper"), F.col("last"))).unionByName(shape(by_object, "typed-object", F.col("pointer"), F.lit(None)))
+    edges = shape(by_field, "id-field", F.col("pointer"), F.lit(None)).unionByName(shape(by_list, "id-list", F.col("pointer"), F.col("last"))).unionByName(shape(by_object, "typed-object", F.col("pointer"), F.lit(None)))
     owners = entity_rows.filter(F.col("collection") != DOCUMENT).select("document_id", F.col("entity_id").alias("target_id"), F.col("collection").alias("target_collection")).distinct()
     return edges.join(owners, ["document_id", "target_id"])

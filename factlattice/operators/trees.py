@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def node_edges(references: DataFrame) -> DataFrame:
     """Edges of nodes from their childIds."""
-    rows = references.filter("source_collection = 'nodes' AND source_pointer = '/childIds'")
+    rows = references.filter("source_collection = 'nodes' AND source_pointer LIKE '/childIds/%'")
     return rows.select("document_id", F.col("source_id").alias("parent_id"), F.col("target_id").alias("child_id"), "ordinal")
 
 

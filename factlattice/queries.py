@@ -509,3 +509,98 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     p = _read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
     return p.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+# ---- documents made of tables ----
+
+
+def nation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per region: its nations as nodes below a root, every third with a text, nations of odd keys with a part that does not exist."""
+    n = _read(spark, sf_dir, "nation").withColumn("id", F.concat(F.lit("n"), F.col("n_nationkey")))
+    third = F.col("n_nationkey") % 3 == 0
+    node = F.struct(
+        F.col("id").alias("nodeId"), F.lit("paragraph").alias("kind"), F.lit("root").alias("parentId"), F.when(F.col("n_nationkey") % 2 == 1, "none").otherwise("part").alias("partId"),
+        F.when(third, F.array(F.concat(F.lit("t"), F.col("n_nationkey")))).alias("textIds"), F.lit("preserved").alias("status"),
+    )
+    text = F.when(third, F.struct(F.concat(F.lit("t"), F.col("n_nationkey")).alias("textId"), F.lit("source").alias("representation"), F.col("n_name").alias("value")))
+    g = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(node)).alias("nations"), F.array_sort(F.collect_list(text)).alias("texts"), F.array_sort(F.collect_list("id")).alias("ids"))
+    root = F.struct(F.lit("root").alias("nodeId"), F.lit("document").alias("kind"), F.col("ids").alias("childIds"))
+    body = F.concat(
+        F.lit('{"documentId":"r'), F.col("n_regionkey"), F.lit('","rootNodeId":"root","parts":[{"partId":"part","kind":"body"}],"nodes":'),
+        F.concat(F.lit("["), F.to_json(root), F.lit(","), F.substring(F.to_json("nations"), 2, 1 << 30), F.lit(',"texts":'), F.to_json("texts"), F.lit("}")),
+    )
+    return g.select(F.concat(F.lit("r"), F.col("n_regionkey")).alias("document_id"), body.alias("ir_json"))
+
+
+@_query("document_entities", "SELECT 'r' || n_regionkey AS document_id, 'nodes' AS collection, count(*) + 1 AS n FROM nation GROUP BY 1 UNION ALL SELECT 'r' || n_regionkey, 'texts', count(*) FROM nation WHERE n_nationkey % 3 = 0 GROUP BY 1 UNION ALL SELECT DISTINCT 'r' || n_regionkey, 'parts', 1 FROM nation UNION ALL SELECT DISTINCT 'r' || n_regionkey, '__document__', 1 FROM nation")
+def _(spark, sf_dir):
+    return facts.entities(nation_documents(spark, sf_dir)).groupBy("document_id", "collection").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("document_references", "SELECT 'r' || n_regionkey AS document_id, 'root' AS source_id, '/childIds/' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY 'n' || n_nationkey) - 1) AS source_pointer, 'n' || n_nationkey AS target_id, 'id-list' AS reference_kind FROM nation UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, '/parentId', 'root', 'id-field' FROM nation UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, '/partId', 'part', 'id-field' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, '/textIds/0', 't' || n_nationkey, 'id-list' FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT DISTINCT 'r' || n_regionkey, 'r' || n_regionkey, '/rootNodeId', 'root', 'id-field' FROM nation")
+def _(spark, sf_dir):
+    e = facts.entities(nation_documents(spark, sf_dir))
+    return facts.references(facts.flatten(e), e).select("document_id", "source_id", "source_pointer", "target_id", "reference_kind")
+
+
+@_query("document_violations", "SELECT 'r' || n_regionkey AS document_id, 'REFERENCE-DANGLING' AS code, 'n' || n_nationkey AS entity_id, '/partId none' AS detail FROM nation WHERE n_nationkey % 2 = 1")
+def _(spark, sf_dir):
+    from factlattice.operators import validation
+
+    e = facts.entities(nation_documents(spark, sf_dir))
+    return validation.broken_references(facts.flatten(e), e).select("document_id", "code", "entity_id", "detail")
+
+
+@_query("document_text", "SELECT 'r' || n_regionkey AS document_id, 't' || n_nationkey AS entity_id, n_name AS value FROM nation WHERE n_nationkey % 3 = 0")
+def _(spark, sf_dir):
+    e = facts.entities(nation_documents(spark, sf_dir))
+    r = facts.references(facts.flatten(e), e)
+    roots = e.filter("entity_id = 'root'").select("document_id", F.col("entity_id").alias("root_id"))
+    below = trees.descendants(trees.node_edges(r), roots).select("document_id", "node_id")
+    return query.get_text(e, query.node_texts(r), below).select("document_id", "entity_id", "value")
+
+
+@_query("document_nodes", "SELECT 'r' || n_regionkey AS document_id, 'n' || n_nationkey AS entity_id, 'paragraph' AS kind FROM nation WHERE n_nationkey % 2 = 0")
+def _(spark, sf_dir):
+    e = facts.entities(nation_documents(spark, sf_dir))
+    return query.list_nodes(e, kind="paragraph", status="preserved", part_id="part").select("document_id", "entity_id", "kind")
+
+
+@_query("extension_verdicts", "SELECT p_partkey::VARCHAR AS extension_id, CASE p_size % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'patch' WHEN 2 THEN 'minor' WHEN 3 THEN 'major' ELSE 'unknown' END AS lane, CASE WHEN p_size % 5 = 0 THEN 'known' WHEN p_size % 5 = 1 THEN 'compatible' WHEN p_size > 25 THEN 'rejected' ELSE 'opaque' END AS verdict FROM part")
+def _(spark, sf_dir):
+    from factlattice.operators.extensions import Entry, Registry, classify
+
+    m = F.col("p_size") % 5
+    version = F.when(m == 0, "1.2.0").when(m == 1, "1.2.5").when(m == 2, "1.3.0").when(m == 3, "2.0.0").otherwise("later")
+    x = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("extension_id"), F.lit("f").alias("namespace"), F.lit("t").alias("type"), version.alias("schema_version"), F.when(F.col("p_size") > 25, "critical").alias("criticality"))
+    return classify(x, Registry([Entry("f", "t", "1.2.0"), Entry("f", "t", "1.1.0")])).select("extension_id", "lane", "verdict")
+
+
+@_query("extension_migrations", "SELECT p_partkey::VARCHAR AS extension_id, CASE WHEN p_size % 2 = 1 THEN 'preserved' WHEN p_size % 3 = 0 THEN 'loss-declared' ELSE 'preserved' END AS migration, '2.0.0' AS new_version, CASE WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN '/payload/legacyRange' END AS loss FROM part")
+def _(spark, sf_dir):
+    x = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("extension_id"), F.when(F.col("p_size") % 2 == 0, "1.0.0").otherwise("2.0.0").alias("schema_version"), (F.col("p_size") % 3 == 0).alias("has_legacy_range"))
+    return canonical.migrate_extensions(x, "2.0.0").select("extension_id", "migration", "new_version", "loss")
+
+
+@_query("points_in_spans", "SELECT e.event_id, p.p_partkey FROM events e JOIN part p ON e.event_id >= p.p_partkey * 40 AND e.event_id < p.p_partkey * 40 + p.p_size")
+def _(spark, sf_dir):
+    from factlattice.operators.intervals import points_in_spans
+
+    points = _read(spark, sf_dir, "events").select(F.lit("d").alias("doc"), F.col("event_id").alias("at"))
+    spans = _read(spark, sf_dir, "part").select(F.lit("d").alias("doc"), (F.col("p_partkey") * 40).alias("start"), (F.col("p_partkey") * 40 + F.col("p_size")).alias("end"), "p_partkey")
+    return points_in_spans(points, spans, ["doc"], band=256).select(F.col("at").alias("event_id"), "p_partkey")
+
+
+@_query("canonical_decimals", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE NOT regexp_matches((l_quantity::DECIMAL(12,2))::VARCHAR, '\\.[0-9]*0$') GROUP BY ALL")
+def _(spark, sf_dir):
+    from factlattice.operators.validation import canonical_decimal
+
+    li = _read(spark, sf_dir, "lineitem").withColumn("text", F.col("l_quantity").cast("decimal(12,2)").cast("string"))
+    return li.filter(canonical_decimal(F.col("text"))).groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("schema_violations", "SELECT event_id::VARCHAR AS event_id, '/k' AS pointer, 'maximum' AS keyword FROM events WHERE (props->>'$.k')::INTEGER > 90")
+def _(spark, sf_dir):
+    from factlattice.plans.schema import check
+
+    return check(_read(spark, sf_dir, "events"), {"type": "object", "properties": {"k": {"type": "integer", "maximum": 90}}, "additionalProperties": False}, key="event_id", text="props")
