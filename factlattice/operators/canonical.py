@@ -84,17 +84,17 @@ def canonical_row(columns: dict[str, tuple[str, str]]) -> Column:
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
-def records_digest(rows: DataFrame, order: list[str], row_digest: str, buckets: int = 256) -> DataFrame:
-    """One digest over the ordered digests of all rows, whatever the partitioning.
+def records_digest(rows: DataFrame, row_digest: str, widths: tuple[int, ...] = (5, 2, 0)) -> DataFrame:
+    """(records, records_digest): one digest over the ordered digests of all rows, whatever the partitioning.
 
-    Rows are dealt to buckets by their digests, each bucket's sorted digests are hashed, and then the buckets' hashes:
-    no task holds more than one bucket of digests of 64 bytes.
+    Digests are hashed in order within each prefix of widths[0] digits, then those hashes within each shorter prefix,
+    until one is left. A task holds the digests of one prefix: a millionth of all at first, a few thousand later.
     """
-    del order  # digests order themselves; the argument documents what makes a row unique
-    bucket = F.conv(F.substring(row_digest, 1, 2), 16, 10).cast("int") % buckets
-    each = rows.groupBy(bucket.alias("bucket")).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(row_digest))), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    pairs = F.sort_array(F.collect_list(F.struct("bucket", "d")))
-    return each.agg(F.sum("n").alias("records"), F.sha2(F.concat_ws("\n", F.transform(pairs, lambda x: x["d"])), 256).alias("records_digest"))
+    now = rows.select(F.col(row_digest).alias("key"), F.col(row_digest).alias("d"), F.lit(1).cast("long").alias("n"))
+    for width in widths:
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("key", "d"))), lambda x: x["d"])
+        now = now.groupBy(F.substring("key", 1, width).alias("prefix")).agg(F.sha2(F.concat_ws("\n", ordered), 256).alias("d"), F.sum("n").alias("n")).withColumnRenamed("prefix", "key")
+    return now.select(F.col("n").alias("records"), F.col("d").alias("records_digest"))
 
 
 def migrate_documents(documents: DataFrame, target: str = "1.0.0") -> DataFrame:

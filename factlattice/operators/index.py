@@ -43,12 +43,12 @@ def with_digest(rows: DataFrame) -> DataFrame:
 
 def source_digest(documents: DataFrame) -> str:
     digests = canonical_documents(documents, "full").select("document_id", F.coalesce("digest", F.sha2("error", 256)).alias("digest"))
-    return records_digest(digests.withColumn("digest", F.sha2(F.concat_ws("\n", "document_id", "digest"), 256)), ["document_id"], "digest").first()["records_digest"]
+    return records_digest(digests.withColumn("digest", F.sha2(F.concat_ws("\n", "document_id", "digest"), 256)), "digest").first()["records_digest"]
 
 
-def _summary(rows: DataFrame, name: str) -> dict:
-    found = records_digest(rows, TABLES[name], "row_sha256").first()
-    return {"rows": found["records"] or 0, "digest": found["records_digest"]}
+def _summary(rows: DataFrame) -> dict:
+    found = records_digest(rows, "row_sha256").first()
+    return {"rows": found["records"], "digest": found["records_digest"]} if found else {"rows": 0, "digest": None}
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -63,7 +63,7 @@ def build_index(documents: DataFrame, path: str, contract: Contract) -> dict:
     for name, rows in build_tables(documents).items():
         keys = [F.col(k) for k in TABLES[name] if k in ("collection", "pointer", "target_id")]
         rows.sortWithinPartitions(*keys).write.parquet(f"{path}/{version}/{name}") if keys else rows.write.parquet(f"{path}/{version}/{name}")
-        tables[name] = _summary(spark.read.parquet(f"{path}/{version}/{name}"), name)
+        tables[name] = _summary(spark.read.parquet(f"{path}/{version}/{name}"))
     manifest = {"version": version, "contract": contract.version, "source": source_digest(documents), "tables": tables}
     _write_text(spark, f"{path}/manifest-{version}", json.dumps(manifest, sort_keys=True))
     return manifest
@@ -83,7 +83,7 @@ def open_index(spark: SparkSession, path: str, version: str, contract: Contract,
     for name, stated in manifest["tables"].items():
         rows = spark.read.parquet(f"{path}/{version}/{name}")
         checked = with_digest(rows.drop("row_sha256")).select("row_sha256")
-        if _summary(checked, name) != stated:
+        if _summary(checked) != stated:
             raise StaleIndex(f"{name} is not what was built")
         tables[name] = rows
     return Index(tables["entities"], tables["fields"], tables["references"], manifest)
