@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, with their places in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    return packing.pack_documents(docs)
 
 
 STAGES = [

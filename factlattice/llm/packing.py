@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ PIECE = 1024
 #: Pieces that are partitioned together.
 GROUP = 512
 #: Words whose ids a worker keeps; beyond them it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,25 +52,37 @@ class WordTokenizer:
         hidden = [b for b in range(256) if b not in shown]
         self.bytes_as = {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
-    def _word(self, word: str) -> np.ndarray:
-        ids = []
-        for part in self.pieces(word.lower()):
-            got = self.parts.get(part)
-            if got is None:
-                shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes_as)
-                got = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
-            ids += got
-        return ids
-
-    def encode(self, text: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes_as)
+            ids = [t.id for t in self.model.tokenize(shown)]
+            got = self.parts[part] = pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._part(word)
+        if word[:-1].isalpha() and not word[-1].isalnum():
+            return self._part(word[:-1]) + self._part(word[-1])
+        return b"".join(map(self._part, self.pieces(word)))
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
         if not self.plain(text) or "<|" in text:
-            return self.whole.encode(text, add_special_tokens=False).ids
-        if len(self.words) + len(self.parts) > self.cached_words:
-            self.words, self.parts = {}, {}
-        held, words = self.words, text.split()
-        for word in set(words).difference(held):
-            held[word] = self._word(word)
-        return list(chain.from_iterable(map(held.__getitem__, words)))
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return pack(f"<{len(ids)}I", *ids)
+        if len(self.words) > self.cached_words:
+            self.words = {}
+        if len(self.parts) > self.cached_words // 2:
+            self.parts = {}
+        held, words = self.words, text.lower().split()
+        try:
+            return b"".join(map(held.__getitem__, words))
+        except KeyError:
+            for word in set(words).difference(held):
+                held[word] = self._word(word)
+        return b"".join(map(held.__getitem__, words))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -99,15 +111,14 @@ def _tokenise(path: str, capacity: int, piece: int, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
     def run(batches):
-        encode = loaded(path).encode
+        encode, end = loaded(path).encode, pack("<I", end_id)
         for batch in blocks(batches):
             rows = ([], [], [], [], [])
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text or "")
-                ids.append(end_id)
-                raw = np.array(ids, "<u4").tobytes()
-                for start, length in cut(len(ids), capacity, piece):
-                    for column, value in zip(rows, (doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(ids))):
+                raw = encode(text or "") + end
+                n = len(raw) // 4
+                for start, length in cut(n, capacity, piece):
+                    for column, value in zip(rows, (doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=schema)
 
@@ -196,7 +207,7 @@ def _pack(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document's ids and an end id are cut into full windows, which make sequences of their own, and pieces of
@@ -221,4 +232,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack_documents(documents(spark, sf_dir))
