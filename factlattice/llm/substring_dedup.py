@@ -141,7 +141,7 @@ def as_string(symbols: np.ndarray) -> str:
 
 def _locate(model, window: int, phrase: int):
     """For each document the windows that hold a recurring phrase, each occurrence located by an automaton."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("hashes", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches):
         recurring = model.value
@@ -156,15 +156,18 @@ def _locate(model, window: int, phrase: int):
                 shard = automaton(symbols + 1, first[once], phrase)  # of the phrases that this block can hold
                 ends = np.fromiter((end for end, _ in shard.iter(as_string(symbols + 1))), np.int64)
                 begins = p.covering(ends - (phrase - 1), window, phrase)
-            cuts = np.searchsorted(begins, words.first).astype(np.int32)
-            text_of = words.text_of[begins] if len(begins) else begins
             spans = ngram_hashes(p.hashes, window)[begins].view(np.int64) if len(begins) else begins
-            texts = batch.column("text")
-            has = np.diff(cuts) > 0
-            sha = [None if h else hashlib.sha256(b" ".join(words.raw(k))).hexdigest() for k, h in enumerate(has.tolist())]
+            text_of = words.text_of[begins] if len(begins) else begins
+            # runs: windows that begin one word after the other in one text
+            heads = np.flatnonzero(np.append(True, (np.diff(begins) != 1) | (np.diff(text_of) != 0))) if len(begins) else begins
+            lengths = np.diff(np.append(heads, len(begins)))
+            cuts = np.searchsorted(text_of[heads], np.arange(n + 1)).astype(np.int32)
+            listed = lambda values: pa.ListArray.from_arrays(pa.array(cuts), values)
+            sha = [None if h else hashlib.sha256(b" ".join(words.raw(k))).hexdigest() for k, h in enumerate((np.diff(cuts) > 0).tolist())]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([texts[k].as_py() if h else None for k, h in enumerate(has.tolist())], pa.string()), pa.array(np.diff(words.first)), pa.array(sha, pa.string()),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array((begins - words.first[text_of]).astype(np.int32))), pa.ListArray.from_arrays(pa.array(cuts), pa.array(spans, pa.int64())),
+                batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(words.first)), pa.array(sha, pa.string()),
+                listed(pa.array((begins[heads] - words.first[text_of[heads]]).astype(np.int32))), listed(pa.array(lengths.astype(np.int32))),
+                listed(pa.ListArray.from_arrays(pa.array(np.append(heads, len(begins)).astype(np.int32)), pa.array(spans, pa.int64()))),
             ], schema=schema)
 
     return run
@@ -176,10 +179,11 @@ def _remove(window: int):
     def run(batches):
         for batch in blocks(batches):
             words, rows = Words(batch.column("text")), []
-            for k, (doc_id, starts, stay) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "starts", "stay")))):
+            for k, (doc_id, starts, lengths, stay) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "starts", "lengths", "stay")))):
                 own = words.raw(k)
                 mark = np.zeros(len(own) + window, np.int32)
-                gone = np.setdiff1d(np.array(starts, np.int64), np.array(stay or [], np.int64))
+                begins = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, lengths)])
+                gone = np.setdiff1d(begins, np.array(stay or [], np.int64))
                 mark[gone] += 1
                 mark[gone + window] -= 1
                 removed = np.cumsum(mark)[: len(own)] > 0
@@ -204,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     work = Work(spark, "substring-dedup")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
     counted = rows.select("text").mapInArrow(_count_phrases(window, phrase), "phrase long, n int")
     recurring = work.table(counted.groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1").select("phrase"), "phrases")
     n = recurring.count()
@@ -215,24 +219,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for r in filled.collect():  # SLICES slices of a bounded size, each from one task
         slices[r["part"]] = bytes(r["bits"])
     model = spark.sparkContext.broadcast(PhraseFilter(width, slices))
-    located = work.table(rows.mapInArrow(_locate(model, window, phrase), "doc_id long, text string, n_words long, kept_sha256 string, starts array<int>, hashes array<long>"), "located")
+    located = work.table(rows.mapInArrow(_locate(model, window, phrase), "doc_id long, digest long, n_words long, kept_sha256 string, starts array<int>, lengths array<int>, hashes array<array<long>>"), "located")
 
     span = located.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("n_words").alias("words")).first()
     low, high = span.low or 0, span.high or 0
     bits = max(1, int(span.words or 0).bit_length())
-    windows = located.filter("size(starts) > 0").select("doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("doc_id", F.col("w.starts").alias("start"), F.col("w.hashes").alias("window"))
-    if high - low + 2 < 1 << (62 - bits):  # place: a number that orders windows by document and start
-        place = F.shiftleft(F.coalesce(F.col("doc_id") - low + 1, F.lit(0)).cast("long"), bits) + F.col("start")
-        back = [F.shiftright("place", bits).alias("doc"), F.col("place").bitwiseAND((1 << bits) - 1).cast("int").alias("start")]
+    runs = located.select("doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("run"))
+    windows = runs.select("doc_id", F.col("run.starts").alias("head"), F.posexplode("run.hashes").alias("k", "window")).select("doc_id", (F.col("head") + F.col("k")).alias("start"), "window")
+    # `of` is a document as a key without nulls, and `place` orders windows by document and start
+    if high - low + 2 < 1 << (62 - bits):
         of = F.coalesce(F.col("doc_id") - low + 1, F.lit(0)).cast("long")
+        place = F.shiftleft(of, bits) + F.col("start")
+        back = [F.shiftright("place", bits).alias("of"), F.col("place").bitwiseAND((1 << bits) - 1).cast("int").alias("start")]
     else:
-        place = F.struct(F.col("doc_id"), F.col("start"))
-        back = [F.col("place.doc_id").alias("doc"), F.col("place.start").alias("start")]
-        of = F.col("doc_id")
+        of = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+        place = F.struct("doc_id", "start")
+        back = [F.coalesce(F.col("place.doc_id").cast("string"), F.lit("")).alias("of"), F.col("place.start").alias("start")]
     firsts = windows.select("window", place.alias("place")).groupBy("window").agg(F.min("place").alias("place")).select(*back)
-    stay = firsts.groupBy("doc").agg(F.collect_list("start").alias("stay"))  # at most the windows of one document
-    touched = located.filter("size(starts) > 0").select("doc_id", "text", "starts", of.alias("of"))
-    cleaned = touched.join(stay, F.col("of").eqNullSafe(F.col("doc")), "left").select("doc_id", "text", "starts", "stay")
+    # dealt by document first: lists gathered before a shuffle would be many and short
+    stay = firsts.repartition("of").groupBy("of").agg(F.collect_list("start").alias("stay"))  # at most the windows of one document
+    touched = located.filter("size(starts) > 0").select(of.alias("of"), F.col("digest").alias("own_digest"), "starts", "lengths")
+    if not touched.groupBy("of", "own_digest").count().filter("count > 1").isEmpty():
+        touched = touched.dropDuplicates(["of", "own_digest"])  # rows that repeat an id and its text propose the same windows
+    same = F.col("digest").bitwiseXOR(F.col("own_digest")) == 0  # no join key, so that the right side stays where it is
+    cleaned = rows.withColumn("of", of).join(touched.join(stay, "of", "left"), "of").filter(same).select("doc_id", "text", "starts", "lengths", "stay")
     cleaned = cleaned.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     whole = located.filter("size(starts) = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
     return cleaned.unionByName(whole)
