@@ -150,9 +150,16 @@ class Work:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Deletes a table that nothing reads any more."""
+        self._delete(f"{self.path}/{name}")
+
     def remove(self) -> None:
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
         try:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         except Exception:  # the session has ended; its owner clears the folder
             pass

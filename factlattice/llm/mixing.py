@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlattice.llm.common import SEPARATOR_RUN, Work, documents
+from factlattice.llm.common import SEPARATOR_RUN, Work, documents, salted_join
 
 #: Marginals: a target is in proportion to its tokens to this power (1 keeps the shares, 0 makes them equal).
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-#: Values of a marginal that are told apart, those with the most tokens; all others are raked as one, OTHER.
-VALUES, OTHER, MISSING = 64, "(other)", "(none)"
+MISSING = "(none)"
+#: Cells that are raked in the driver at most (about 100 bytes each); more are raked as a table, to the same factors.
+CELLS = 1 << 17
 #: Share of the tokens to draw.
 FRACTION = 0.7
 #: Raking ends when no marginal is off by more than this share, or after so many rounds.
@@ -73,12 +75,91 @@ def calibrate(factors: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndar
     return np.minimum(1, high * factors)
 
 
+def _held_chances(cells: DataFrame, axes: list[str], powers: dict[str, float], targets: dict[str, dict[str, float]], fraction: float) -> DataFrame:
+    """Cells with factor and probability, raked in the driver."""
+    table = cells.orderBy(*axes).toArrow()
+    tokens = table["n"].to_numpy().astype(np.float64)
+    codes, shares = [], []
+    for axis in axes:
+        coded = table[axis].combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        if axis in targets:
+            known = {v: k for k, v in enumerate(targets[axis])}
+            code = np.array([known.get(v, len(known)) for v in coded.dictionary.to_pylist()], np.int64)[code]
+            shares.append(np.array([*targets[axis].values(), 0.0]))
+        else:
+            shares.append(np.bincount(code, tokens) ** powers[axis])
+        codes.append(code)
+    factors = rake(np.stack(codes, axis=1), tokens, shares)
+    chance = calibrate(factors, tokens, fraction * tokens.sum())
+    found = table.select(axes).append_column("factor", pa.array(factors)).append_column("probability", pa.array(chance))
+    return F.broadcast(cells.sparkSession.createDataFrame(found))
+
+
+def _table_chances(work: Work, cells: DataFrame, axes: list[str], powers: dict[str, float], targets: dict[str, dict[str, float]], fraction: float) -> DataFrame:
+    """Cells with factor and probability, raked as a table; as `rake` and `calibrate`, without a bound on cells or values."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("n")).first()[0])
+    goals, keys = {}, {}
+    for axis in axes:
+        key = f"_{axis}"
+        if axis in targets:
+            given = spark.createDataFrame([(v, float(g)) for v, g in targets[axis].items()], f"{axis} string, goal double")
+            own = cells.select(axis).distinct().join(given, axis, "left").select(axis, F.when(F.col("goal").isNotNull(), F.col(axis)).alias(key), F.coalesce("goal", F.lit(0.0)).alias("goal"))
+        else:
+            own = cells.groupBy(axis).agg((F.sum("n").cast("double") ** powers[axis]).alias("goal")).select(axis, F.col(axis).alias(key), "goal")
+        own = work.table(own, f"values-{axis}")
+        each = own.select(key, "goal").distinct()
+        whole, n = each.agg(F.sum("goal"), F.count(F.lit(1))).first()
+        goals[axis] = work.table(each.select(key, (F.col("goal") / whole if whole > 0 else F.lit(1.0 / n)).alias("goal")), f"goals-{axis}")
+        keys[axis] = own.select(axis, key), n
+
+    def look_up(left, right, on, n):
+        # values may be many, and one of them may hold most cells
+        return left.join(F.broadcast(right), on) if n <= CELLS else salted_join(left, right, on, "inner", F.struct(*axes))
+
+    for axis in axes:
+        own, n = keys[axis]
+        cells = look_up(cells, own, [axis], n)
+    current = work.table(cells.withColumn("weight", F.col("n") / total), "weights")
+    last, step = "weights", 0
+    for _ in range(ROUNDS):
+        off = 0.0
+        for axis in axes:
+            key, step = f"_{axis}", step + 1
+            now = current.groupBy(key).agg(F.sum("weight").alias("now"))
+            ratio = work.table(now.join(goals[axis], now[key].eqNullSafe(goals[axis][key])).select(F.coalesce(now[key], F.lit("")).alias("_value"), now[key].isNull().alias("_rest"), F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("ratio"), F.abs(F.col("now") - F.col("goal")).alias("off")), f"ratios-{step}")
+            off = max(off, ratio.agg(F.max("off")).first()[0])
+            keyed = current.withColumn("_value", F.coalesce(key, F.lit(""))).withColumn("_rest", F.col(key).isNull())
+            current = work.table(look_up(keyed, ratio.drop("off"), ["_value", "_rest"], keys[axis][1]).withColumn("weight", F.col("weight") * F.col("ratio")).drop("_value", "_rest", "ratio"), f"weights-{step}")
+            work.drop(last)
+            work.drop(f"ratios-{step}")
+            last = f"weights-{step}"
+        if off < CLOSE:
+            break
+    found = current.select(*axes, "n", (F.col("weight") * total / F.col("n")).alias("factor"))
+    budget = fraction * total
+    if budget >= (found.agg(F.sum(F.when(F.col("factor") > 0, F.col("n")))).first()[0] or 0):
+        return found.select(*axes, "factor", F.when(F.col("factor") > 0, 1.0).otherwise(0.0).alias("probability"))
+    drawn = lambda scales: found.agg(*[F.sum(F.col("n") * F.least(F.lit(1.0), F.col("factor") * float(x))) for x in scales]).first()
+    low, high = 0.0, 1.0
+    while drawn([high])[0] < budget:
+        low, high = high, high * 1024
+    for _ in range(40):
+        scales = np.linspace(low, high, 33)
+        k = int(np.argmax(np.array([*drawn(scales[:-1]), np.inf]) >= budget))
+        if k == 0 or (scales[k - 1], scales[k]) == (low, high):
+            break
+        low, high = scales[k - 1], scales[k]
+    return found.select(*axes, "factor", F.least(F.lit(1.0), F.col("factor") * float(high)).alias("probability"))
+
+
 def mix(docs: DataFrame, topic: Column, fraction: float = FRACTION, temperature: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, source, lang, topic, tokens, factor, probability, drawn.
 
     Tokens are words between white space; a document without any counts as one token. `targets` gives shares for
     the values of a marginal (others get none); without it a share follows the tokens by `temperature`. Cells of
-    source, lang and topic are raked to all three, and a document is drawn if a hash of its id and seed, as a
+    source, lang and topic are raked to all three, each value to its own share, and a document is drawn if a hash of its id and seed, as a
     number from 0 to 1, is below its cell's probability: the choice depends on nothing else. A null source, lang
     or topic is a value of its own; rows that repeat an id and cell are drawn together; null ids are one id.
     No rows give no rows; other columns are not read.
@@ -89,34 +170,17 @@ def mix(docs: DataFrame, topic: Column, fraction: float = FRACTION, temperature:
     words = F.size(F.filter(F.split(text, SEPARATOR_RUN), lambda w: w != ""))
     rows = docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in ("source", "lang")], F.coalesce(topic, F.lit(MISSING)).alias("topic"), F.greatest(F.lit(1), words).cast("long").alias("tokens"))
     rows = work.table(rows, "rows")
-    axes = ("source", "lang", "topic")
-    known, shares = {}, []
-    for axis in axes:
-        if targets and axis in targets:
-            known[axis], goal = list(targets[axis]), list(targets[axis].values())
-            shares.append(np.array([*goal, 0.0]))
-        else:
-            sums = rows.groupBy(axis).agg(F.sum("tokens").alias("n"))
-            top = sums.orderBy(F.desc("n"), axis).limit(VALUES).collect()
-            rest = max(0, (sums.agg(F.sum("n")).first()[0] or 0) - sum(r["n"] for r in top))
-            known[axis] = [r[axis] for r in top]
-            power = (TEMPERATURE | (temperature or {}))[axis]
-            shares.append(np.array([float(n) ** power if n else 0.0 for n in [*(r["n"] for r in top), rest]]))
-    if not known["source"]:
+    axes = ["source", "lang", "topic"]
+    powers = TEMPERATURE | (temperature or {})
+    cells = work.table(rows.groupBy(*axes).agg(F.sum("tokens").alias("n")), "cells")
+    n = cells.count()
+    if not n:
         return rows.select("*", F.lit(0.0).alias("factor"), F.lit(0.0).alias("probability"), F.lit(False).alias("drawn"))
-    coded = rows
-    for axis in axes:
-        code = F.create_map(*[F.lit(x) for k, v in enumerate(known[axis]) for x in (v, k)]) if known[axis] else F.create_map().cast("map<string,int>")
-        coded = coded.withColumn(f"_{axis}", F.coalesce(code[F.col(axis)], F.lit(len(known[axis]))))
-    code_names = [f"_{a}" for a in axes]
-    cells = coded.groupBy(*code_names).agg(F.sum("tokens").alias("n")).orderBy(*code_names).collect()  # at most (VALUES + 1) cubed
-    at = np.array([[r[c] for c in code_names] for r in cells], np.int64)
-    tokens = np.array([r["n"] for r in cells], np.float64)
-    factors = rake(at, tokens, shares)
-    chance = calibrate(factors, tokens, fraction * tokens.sum())
-    table = spark.createDataFrame([(*map(int, a), float(f), float(p)) for a, f, p in zip(at, factors, chance)], "_source int, _lang int, _topic int, factor double, probability double")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    out = coded.join(F.broadcast(table), code_names)  # a row per cell
+    if n <= CELLS:
+        out = rows.join(_held_chances(cells, axes, powers, targets or {}, fraction), axes)
+    else:
+        out = salted_join(rows, _table_chances(work, cells, axes, powers, targets or {}, fraction), axes, "inner", F.struct("doc_id", "tokens"))
     return out.select("doc_id", *axes, "tokens", "factor", "probability", (u < F.col("probability")).alias("drawn"))
 
 

@@ -100,6 +100,29 @@ def test_mixing_draws_near_its_targets(spark, docs, empty, texts):
     assert mixing.mix(empty, mixing.form_topic(F.col("text"))).count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 17, 0])
+def test_mixing_rakes_every_source_to_its_own_share(spark, monkeypatch, held):
+    monkeypatch.setattr(mixing, "CELLS", held, raising=False)
+    sizes = {f"s{k:03}": 1 + k % 7 for k in range(164)}
+    many = spark.createDataFrame([(k, "w " * n, "aa", s) for k, (s, n) in enumerate(sizes.items())], "doc_id long, text string, lang string, source string")
+    got = mixing.mix(many, F.lit("t"), fraction=0.5).collect()
+    total, roots = sum(sizes.values()), sum(n**0.5 for n in sizes.values())
+    assert len(got) == len(sizes)
+    assert all(abs(r["factor"] * r["tokens"] / total - sizes[r["source"]] ** 0.5 / roots) < 1e-8 for r in got)
+    assert abs(sum(r["probability"] * r["tokens"] for r in got) / total - 0.5) < 1e-8
+
+
+def test_mixing_as_a_table_equals_mixing_in_the_driver(spark, monkeypatch, docs, texts):
+    found = []
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    for held in (1 << 17, 0):
+        monkeypatch.setattr(mixing, "CELLS", held)
+        rows = mixing.mix(docs, mixing.form_topic(F.col("text")), fraction=0.4, targets={"source": {"s0": 2.0, "s1": 1.0, "absent": 5.0}}).collect()
+        found.append(sorted((*(str(r[c]) for c in ("doc_id", "source", "lang", "topic", "tokens")), r["factor"], r["probability"]) for r in rows))
+    assert len(found[0]) == len(texts) and [x[:5] for x in found[0]] == [x[:5] for x in found[1]]
+    assert np.allclose([x[5:] for x in found[0]], [x[5:] for x in found[1]], rtol=1e-6)
+
+
 def test_packing_is_whole_and_tight(spark, docs, empty, texts):
     from tokenizers import Tokenizer
 
