@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import corpus_pipeline
 from factlattice.llm import jaccard_join
 
@@ -21,3 +24,16 @@ def test_stages_follow_one_another(spark, docs, texts):
     assert ids[4] <= ids[3] and len(ids[4]) > 0.3 * len(ids[3])
     packed = corpus_pipeline.STAGES[4][1](spark, kept[4], "")
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == ids[4]
+
+
+def test_rows_without_an_id_of_their_own_stay(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(40))
+    rows = [(k, text()) for k in range(30)] + [(5, text()), (5, text()), (5, "1 2 !!"), (None, text()), (None, text()), (None, None)]
+    rows += [(30, rows[0][1]), (None, rows[-2][1]), (7, rows[7][1])]  # copies
+    table = spark.createDataFrame([(a, b, "aa", "s0", len(b or "")) for a, b in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] != "mixing"])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert Counter(r["doc_id"] for r in got.filter("start = 0").collect()) == Counter({**dict.fromkeys(range(30), 1), 5: 3, None: 2})
