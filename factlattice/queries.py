@@ -1,7 +1,9 @@
-"""Driver queries over the star schema, each with the same result as its SQL."""
+"""Driver queries over the star schema, each with the same result as its SQL; those named _whole run on whole tables and have none."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -295,11 +297,14 @@ def _(spark, sf_dir):
 
 
 @_query("ancestors_of_lineitem", _TREE + "a AS (SELECT DISTINCT 'l-' || l_orderkey || '-' || l_linenumber AS start_id, 'o-' || l_orderkey AS node_id, 1 AS distance FROM lineitem WHERE l_orderkey <= 20 UNION ALL SELECT a.start_id, e.parent, a.distance + 1 FROM a JOIN e ON e.child = a.node_id) SELECT start_id, node_id, distance FROM a")
-def _(spark, sf_dir):
-    start = _read(spark, sf_dir, "lineitem").filter("l_orderkey <= 20").select(F.lit("tables").alias("document_id"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("node_id")).distinct()
+def ancestors_of_lineitem(spark, sf_dir, where="l_orderkey <= 20"):
+    start = _read(spark, sf_dir, "lineitem").filter(where).select(F.lit("tables").alias("document_id"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("node_id")).distinct()
     return trees.ancestors(region_edges(spark, sf_dir).distinct(), start).select("start_id", "node_id", "distance")
 
 
+QUERIES["ancestors_of_lineitem_whole"] = partial(ancestors_of_lineitem, where="true")
+
+
 @_query("reachability", "SELECT 'n-' || n_nationkey AS node_id, 'unreachable' AS code FROM nation WHERE n_regionkey > 1 UNION ALL SELECT 'c-' || c_custkey, 'unreachable' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey > 1")
 def _(spark, sf_dir):
     e = region_edges(spark, sf_dir).filter("child_id LIKE 'n-%' OR child_id LIKE 'c-%'")
@@ -309,13 +314,16 @@ def _(spark, sf_dir):
 
 
 @_query("subtree_text", "SELECT 'conv-' || conv_id AS conversation, turn, text FROM conversations WHERE conv_id < 20")
-def _(spark, sf_dir):
-    c = _read(spark, sf_dir, "conversations").filter("conv_id < 20").withColumn("conversation", F.concat_ws("-", F.lit("conv"), "conv_id")).withColumn("node", F.concat_ws("-", "conversation", "turn"))
+def subtree_text(spark, sf_dir, where="conv_id < 20"):
+    c = _read(spark, sf_dir, "conversations").filter(where).withColumn("conversation", F.concat_ws("-", F.lit("conv"), "conv_id")).withColumn("node", F.concat_ws("-", "conversation", "turn"))
     edges = c.select(F.lit("tables").alias("document_id"), F.col("conversation").alias("parent_id"), F.col("node").alias("child_id"), F.col("turn").alias("ordinal"))
     below = trees.descendants(edges, edges.select("document_id", F.col("parent_id").alias("root_id")).distinct())
     return c.join(below.select(F.col("node_id").alias("node")), "node", "left_semi").select("conversation", "turn", "text")
 
 
+QUERIES["subtree_text_whole"] = partial(subtree_text, where="true")
+
+
 # ---- status, canonical form, digests ----
 
 
@@ -439,11 +447,14 @@ def _(spark, sf_dir):
 
 
 @_query("range_expand", "SELECT p_partkey, r AS row, c AS col FROM part, generate_series(1, p_size % 4) AS a(r), generate_series(2, 3) AS b(c) WHERE p_partkey <= 50 AND p_size % 4 > 0")
-def _(spark, sf_dir):
-    p = _read(spark, sf_dir, "part").filter("p_partkey <= 50").withColumn("bounds", values.parse_range(F.concat(F.lit("B1:C"), F.greatest(F.lit(1), F.col("p_size") % 4).cast("string"))))
+def range_expand(spark, sf_dir, where="p_partkey <= 50"):
+    p = _read(spark, sf_dir, "part").filter(where).withColumn("bounds", values.parse_range(F.concat(F.lit("B1:C"), F.greatest(F.lit(1), F.col("p_size") % 4).cast("string"))))
     return p.filter("p_size % 4 > 0").select("p_partkey", F.explode(values.expand_range(F.col("bounds"))).alias("x")).select("p_partkey", "x.row", F.col("x.column").alias("col"))
 
 
+QUERIES["range_expand_whole"] = partial(range_expand, where="true")
+
+
 @_query("serial_to_date", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS iso, (date_diff('day', DATE '1904-01-01', o_orderdate::DATE))::BIGINT AS serial_1904 FROM orders")
 def _(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").withColumn("serial", F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1899-12-31"))) + 1)
@@ -457,12 +468,15 @@ def _(spark, sf_dir):
 
 
 @_query("number_display", "SELECT l_orderkey, l_linenumber, format('{:,}', l_quantity::INTEGER * 1000) || '.00 kg' AS shown, (l_quantity::INTEGER) || '00%' AS percent FROM lineitem WHERE l_orderkey <= 2000")
-def _(spark, sf_dir):
-    li = _read(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000")
+def number_display(spark, sf_dir, where="l_orderkey <= 2000"):
+    li = _read(spark, sf_dir, "lineitem").filter(where)
     show = lambda value, code: values.displayed(value.cast("string"), F.lit(code), F.lit("1900"))
     return li.select("l_orderkey", "l_linenumber", show(F.col("l_quantity").cast("int") * 1000, '#,##0.00" kg"').alias("shown"), show(F.col("l_quantity").cast("int"), "0%").alias("percent"))
 
 
+QUERIES["number_display_whole"] = partial(number_display, where="true")
+
+
 @_query("cell_typing", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'decimal' WHEN 2 THEN 'boolean' ELSE 'string' END AS type, CASE p_size % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size || '.5' WHEN 2 THEN 'true' ELSE p_brand END AS value, CASE WHEN p_size % 4 = 3 THEN 'unsupported' ELSE 'preserved' END AS status FROM part")
 def _(spark, sf_dir):
     m = F.col("p_size") % 4
@@ -478,8 +492,8 @@ UNION ALL SELECT 'part-' || p_partkey, 'color', p_brand, p_brand, 'inherit' FROM
 UNION ALL SELECT DISTINCT p_brand, 'color', p_brand, p_brand, 'direct' FROM own
 UNION ALL SELECT 'part-' || p_partkey, 'font', 'plain', 'defaults', 'default' FROM own
 UNION ALL SELECT DISTINCT p_brand, 'font', 'plain', 'defaults', 'default' FROM own""")
-def _(spark, sf_dir):
-    p = _read(spark, sf_dir, "part").filter("p_partkey <= 500")
+def style_cascade(spark, sf_dir, where="p_partkey <= 500"):
+    p = _read(spark, sf_dir, "part").filter(where)
     name, doc = F.concat_ws("-", F.lit("part"), "p_partkey"), F.lit("tables").alias("document_id")
     brands = p.select(doc, F.col("p_brand").alias("style_id")).distinct()
     own = p.select(doc, name.alias("style_id"), F.col("p_brand").alias("based_on")).unionByName(brands.withColumn("based_on", F.lit(None).cast("string")))
@@ -488,6 +502,9 @@ def _(spark, sf_dir):
     return styles.resolve_styles(own, declared.withColumn("source_id", F.lit(None).cast("string")), defaults).select("style_id", "property", "value", "source_id", "action")
 
 
+QUERIES["style_cascade_whole"] = partial(style_cascade, where="true")
+
+
 @_query("conditional_format_winner", """
 SELECT l_orderkey AS row, l_linenumber::BIGINT AS col, 'color' AS property, CASE WHEN l_quantity > 40 AND l_linenumber <= 3 THEN 'blue' WHEN l_quantity > 30 THEN 'red' ELSE 'grey' END AS value
 FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) WHERE l_orderkey >= 1 AND (l_quantity > 30 OR l_quantity < 5)""")
