@@ -65,9 +65,9 @@ def order_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return order_entities(spark, sf_dir), facts.fields_of_columns(o, "orders", "id", {"/status": ("string", F.col("o_orderstatus")), "/priority": ("string", F.col("o_orderpriority")), "/customer": ("string", F.col("o_custkey"))})
 
 
-def basket_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def basket_fields(spark: SparkSession, sf_dir: str, where: str = "l_linenumber <= 4") -> tuple[DataFrame, DataFrame]:
     """Orders with their lines as nested JSON."""
-    li = _read(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
+    li = _read(spark, sf_dir, "lineitem").filter(where)
     line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_returnflag").alias("flag"))
     b = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     b = b.select("l_orderkey", F.to_json(F.struct("lines", F.array_sort(F.array_distinct(F.col("lines.flag"))).alias("flags"))).alias("payload"))
@@ -124,10 +124,13 @@ def _(spark, sf_dir):
 
 
 @_query("coverage_anti", "SELECT 'baskets' AS collection, '/lines/*/n' AS template UNION ALL SELECT 'baskets', '/lines/*'")
-def _(spark, sf_dir):
+def coverage_anti(spark, sf_dir, where="l_linenumber <= 4"):
     from factlattice.operators.index import unregistered
 
-    return unregistered(basket_fields(spark, sf_dir)[1], CONTRACT)
+    return unregistered(basket_fields(spark, sf_dir, where)[1], CONTRACT)
+
+
+QUERIES["coverage_anti_whole"] = partial(coverage_anti, where="true")
 
 
 # ---- typed predicates ----
@@ -160,11 +163,14 @@ def _(spark, sf_dir):
 
 
 @_query("query_fields_contains_list", "SELECT l_orderkey::VARCHAR AS entity_id, '/flags' AS pointer, 'value' AS presence, '[' || string_agg(DISTINCT '\"' || l_returnflag || '\"', ',' ORDER BY '\"' || l_returnflag || '\"') || ']' AS value_json FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R')")
-def _(spark, sf_dir):
-    e, f = basket_fields(spark, sf_dir)
+def query_fields_contains_list(spark, sf_dir, where="l_linenumber <= 4"):
+    e, f = basket_fields(spark, sf_dir, where)
     return _hits(query.query_fields(f, e, CONTRACT, "/flags", "R", "contains", collection="baskets"))
 
 
+QUERIES["query_fields_contains_list_whole"] = partial(query_fields_contains_list, where="true")
+
+
 @_query("query_fields_exists", "SELECT p_partkey::VARCHAR AS entity_id, '/comment' AS pointer, CASE WHEN p_size % 2 = 1 THEN 'value' ELSE 'null' END AS presence, CASE WHEN p_size % 2 = 1 THEN '\"size ' || p_size || '\"' ELSE 'null' END AS value_json FROM part WHERE p_size <= 40")
 def _(spark, sf_dir):
     e, f = part_fields(spark, sf_dir)
@@ -186,11 +192,14 @@ def _(spark, sf_dir):
 @_query("query_fields_template", """
 WITH l AS (SELECT l_orderkey, l_quantity::INTEGER AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::INTEGER, l_returnflag) - 1 AS k FROM lineitem WHERE l_linenumber <= 4)
 SELECT l_orderkey::VARCHAR AS entity_id, '/lines/' || k || '/quantity' AS pointer, 'value' AS presence, q::VARCHAR AS value_json FROM l WHERE q >= 45""")
-def _(spark, sf_dir):
-    e, f = basket_fields(spark, sf_dir)
+def query_fields_template(spark, sf_dir, where="l_linenumber <= 4"):
+    e, f = basket_fields(spark, sf_dir, where)
     return _hits(query.query_fields(f, e, CONTRACT, "/lines/*/quantity", 45, "gte", collection="baskets"))
 
 
+QUERIES["query_fields_template_whole"] = partial(query_fields_template, where="true")
+
+
 @_query("query_fields_kind_status", "SELECT lpad(o_orderkey::VARCHAR, 10, '0') AS entity_id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW'")
 def _(spark, sf_dir):
     e, f = order_fields(spark, sf_dir)
@@ -306,13 +315,16 @@ QUERIES["ancestors_of_lineitem_whole"] = partial(ancestors_of_lineitem, where="t
 
 
 @_query("reachability", "SELECT 'n-' || n_nationkey AS node_id, 'unreachable' AS code FROM nation WHERE n_regionkey > 1 UNION ALL SELECT 'c-' || c_custkey, 'unreachable' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey > 1")
-def _(spark, sf_dir):
-    e = region_edges(spark, sf_dir).filter("child_id LIKE 'n-%' OR child_id LIKE 'c-%'")
-    nodes = e.select("document_id", F.col("child_id").alias("node_id"))
+def reachability(spark, sf_dir, where="child_id LIKE 'n-%' OR child_id LIKE 'c-%'"):
+    e = region_edges(spark, sf_dir).filter(where)
+    nodes = e.select("document_id", F.col("child_id").alias("node_id")).distinct()
     roots = spark.createDataFrame([("tables", "r-0"), ("tables", "r-1")], "document_id string, root_id string")
     return trees.reachability(e, nodes, roots).select("node_id", "code")
 
 
+QUERIES["reachability_whole"] = partial(reachability, where="true")
+
+
 @_query("subtree_text", "SELECT 'conv-' || conv_id AS conversation, turn, text FROM conversations WHERE conv_id < 20")
 def subtree_text(spark, sf_dir, where="conv_id < 20"):
     c = _read(spark, sf_dir, "conversations").filter(where).withColumn("conversation", F.concat_ws("-", F.lit("conv"), "conv_id")).withColumn("node", F.concat_ws("-", "conversation", "turn"))
@@ -399,11 +411,14 @@ WITH l AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(1
 SELECT doc_id, line, (sum(length(t) + 1) OVER w - length(t) - 1)::BIGINT AS char_start, (sum(length(t) + 1) OVER w - 1)::BIGINT AS char_end,
   (sum(strlen(t) + 1) OVER w - strlen(t) - 1)::BIGINT AS byte_start, (sum(strlen(t) + 1) OVER w - 1)::BIGINT AS byte_end
 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line)""")
-def _(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").filter(~F.col("text").contains("\r"))
+def line_spans(spark, sf_dir, where="NOT contains(text, chr(13))"):
+    d = _read(spark, sf_dir, "documents").filter(where)
     return markdown_lines.lines(d).select("doc_id", F.col("line").cast("long").alias("line"), "char_start", F.col("char_end").cast("long").alias("char_end"), "byte_start", F.col("byte_end").cast("long").alias("byte_end"))
 
 
+QUERIES["line_spans_whole"] = partial(line_spans, where="true")
+
+
 _LINES = "WITH l AS (SELECT doc_id, unnest(generate_series(1, len(string_split_regex(text, '\\r\\n|\\n|\\r')))) AS line, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS t FROM documents) "
 
 
@@ -424,21 +439,27 @@ def _(spark, sf_dir):
 
 
 @_query("pipe_table_rows", _LINES + "SELECT doc_id, line, len(string_split(regexp_replace(trim(t), '^\\||\\|$', '', 'g'), '|')) AS cells FROM l WHERE contains(t, '|') AND NOT contains(t, chr(92))")
-def _(spark, sf_dir):
-    rows = markdown_lines.lines(_read(spark, sf_dir, "documents")).filter(markdown_lines.is_pipe_row(F.col("text")) & ~F.col("text").contains("\\"))
+def pipe_table_rows(spark, sf_dir, where="NOT contains(text, chr(92))"):
+    rows = markdown_lines.lines(_read(spark, sf_dir, "documents")).filter(markdown_lines.is_pipe_row(F.col("text"))).filter(where)
     return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.size(markdown_lines.table_cells(F.col("text"))).cast("long").alias("cells"))
 
 
+QUERIES["pipe_table_rows_whole"] = partial(pipe_table_rows, where="true")
+
+
 # ---- cells, values, styles ----
 
 
 @_query("a1_address", "SELECT p_partkey, CASE WHEN p_partkey > 702 THEN chr((64 + ((p_partkey - 703) // 676) % 26 + 1)::INTEGER) ELSE '' END || CASE WHEN p_partkey > 26 THEN chr((64 + ((p_partkey - 27) // 26) % 26 + 1)::INTEGER) ELSE '' END || chr((64 + (p_partkey - 1) % 26 + 1)::INTEGER) || p_size AS address, p_partkey AS column_number, p_size::BIGINT AS row_number FROM part WHERE p_partkey BETWEEN 1 AND 18278")
-def _(spark, sf_dir):
-    p = _read(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 18278").withColumn("address", values.a1(F.col("p_size"), F.col("p_partkey")))
+def a1_address(spark, sf_dir, where="p_partkey BETWEEN 1 AND 18278"):
+    p = _read(spark, sf_dir, "part").filter(where).withColumn("address", values.a1(F.col("p_size"), F.col("p_partkey")))
     parsed = values.parse_a1(F.col("address"))
     return p.select("p_partkey", "address", parsed["column"].alias("column_number"), parsed["row"].alias("row_number"))
 
 
+QUERIES["a1_address_whole"] = partial(a1_address, where="true")
+
+
 @_query("range_membership", "SELECT 'B2:D40' AS sqref, l_orderkey AS row, l_linenumber::BIGINT AS col FROM lineitem WHERE l_orderkey BETWEEN 2 AND 40 AND l_linenumber BETWEEN 2 AND 4 UNION ALL SELECT 'A100:A3000', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey BETWEEN 100 AND 3000 AND l_linenumber = 1")
 def _(spark, sf_dir):
     cells = _read(spark, sf_dir, "lineitem").select(F.lit("s").alias("sheet"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").cast("long").alias("column"))
