@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 from struct import pack
@@ -21,8 +22,22 @@ CAPACITY = 4096
 PIECE = 1024
 #: Pieces that are partitioned together.
 GROUP = 512
-#: Words whose ids a worker keeps; beyond them it starts anew.
-CACHED_WORDS = 1_000_000
+#: Bytes of words and their ids that a worker keeps, about; beyond them the half that is older goes.
+CACHED_BYTES = 48 << 20
+#: What an entry of the cache takes beside its word and ids.
+ENTRY_BYTES = 200
+
+#: The normaliser and pre-tokeniser of the tokenizers whose words are encoded one by one. Fixed values.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,57 +46,83 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent:
+    """A dictionary of bounded size: as `new` fills up it becomes `old`, from which what is asked again moves on."""
+
+    def __init__(self, size: int):
+        self.size, self.held, self.new, self.old = size // 2, 0, {}, {}
+
+    def fill(self, keys, make) -> None:
+        """Puts keys that `new` lacks into it."""
+        old, new, more = self.old, self.new, 0
+        for key in keys:
+            got = old.get(key)
+            if got is None:
+                got = make(key)
+            new[key] = got
+            more += len(key) + len(got) + ENTRY_BYTES
+        self.held += more
+
+    def trim(self) -> None:
+        if self.held > self.size:
+            self.old, self.new, self.held = self.new, {}, 0
+
+
 class WordTokenizer:
-    """Ids of whole texts, equal to encode(text, add_special_tokens=False).
+    """Ids of whole texts, equal to encode(text, add_special_tokens=False), for any tokenizer file.
 
-    The tokenizer's normaliser and pre-tokenizer never look across white space, so words that consist of
-    printable ASCII and Latin-1 letters are encoded once and kept; a text with anything else that its normaliser
-    might treat by context (other scripts, combining marks, unusual spaces, special tokens) is encoded whole.
+    If the file's normaliser and pre-tokenizer are those of WORDWISE, which never look across white space, words
+    that consist of printable ASCII and Latin-1 letters are encoded once and kept. A text with anything else that
+    the normaliser might treat by context (other scripts, combining marks, unusual spaces, special tokens) is
+    encoded whole, as are all texts under other tokenizers.
     """
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+    def __init__(self, path: str, cached_bytes: int = CACHED_BYTES):
         import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.cached_words, self.words, self.parts = cached_words, {}, {}
+        self.wordwise = all(told.get(k) == v for k, v in WORDWISE.items()) and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
+        self.wordwise &= all(t["content"].startswith("<|") for t in told.get("added_tokens", []))
+        self.words, self.parts = Recent(cached_bytes // 2), Recent(cached_bytes // 2)
         self.plain = regex.compile(r"[\t\n\v\f\r -~\xA1-\xFF]*+").fullmatch
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.bytes_as = {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
+    def _ids(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes_as)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return pack(f"<{len(ids)}I", *ids)
+
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes_as)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            got = self.parts[part] = pack(f"<{len(ids)}I", *ids)
-        return got
+        if part not in self.parts.new:
+            self.parts.fill((part,), self._ids)
+        return self.parts.new[part]
 
     def _word(self, word: str) -> bytes:
         if word.isalpha():
-            return self._part(word)
+            return self._ids(word)
         if word[:-1].isalpha() and not word[-1].isalnum():
             return self._part(word[:-1]) + self._part(word[-1])
         return b"".join(map(self._part, self.pieces(word)))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
-        if not self.plain(text) or "<|" in text:
+        if not self.wordwise or not self.plain(text) or "<|" in text:
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return pack(f"<{len(ids)}I", *ids)
-        if len(self.words) > self.cached_words:
-            self.words = {}
-        if len(self.parts) > self.cached_words // 2:
-            self.parts = {}
-        held, words = self.words, text.lower().split()
+        self.words.trim()
+        self.parts.trim()
+        held, words = self.words.new, text.lower().split()
         try:
             return b"".join(map(held.__getitem__, words))
         except KeyError:
-            for word in set(words).difference(held):
-                held[word] = self._word(word)
+            self.words.fill(set(words).difference(held), self._word)
         return b"".join(map(held.__getitem__, words))
 
 
