@@ -6,7 +6,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlattice.llm.common import Work, Words, blocks, documents, inside, mix64, ngram_hashes, salted_join
@@ -17,8 +17,9 @@ NGRAM, THRESHOLD = 5, 0.8
 HASHES, ROWS, BANDS = 128, 4, 24
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
-#: Members of a bucket or cluster that are compared with each other in one cell.
-CELL = 256
+#: Members of a bucket or cluster that are compared with each other in one cell, and words of a cluster, or shingles
+#: of their differences, that meet there.
+CELL, CELL_WORDS = 256, 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(5))
 _MULTIPLY = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,7 +116,7 @@ def cells(batches, key: str):
 
 
 def candidate_pairs(cell: np.ndarray, side: np.ndarray):
-    """Positions of the pairs of each cell of ascending cell numbers, about a million at a time.
+    """Positions of the pairs of each cell of ascending cell numbers, at most half a million at a time.
 
     Side 0 and 1 of a cell meet each other; rows of side 2 meet one another.
     """
@@ -129,12 +130,13 @@ def candidate_pairs(cell: np.ndarray, side: np.ndarray):
         else:
             zero, one = np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1)
             i, j = np.repeat(zero, len(one)), np.tile(one, len(zero))
-        left.append(a + i)
-        right.append(a + j)
-        held += len(i)
-        if held > 1 << 18:
-            yield np.concatenate(left), np.concatenate(right)
-            left, right, held = [], [], 0
+        for k in range(0, len(i), 1 << 18):
+            left.append(a + i[k : k + (1 << 18)])
+            right.append(a + j[k : k + (1 << 18)])
+            held += len(left[-1])
+            if held > 1 << 18:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
     if held:
         yield np.concatenate(left), np.concatenate(right)
 
@@ -205,8 +207,46 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return total[place[left], place[right]].astype(np.int64)
 
 
+_TOLD = pa.schema([("root", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("centre_n", pa.int64()), ("gone", pa.int64()), ("unlike", pa.binary()), ("n_unlike", pa.int64()), ("copies", pa.int64()), ("signature", pa.binary())])
+_TOLD_SQL = "root long, id long, n long, centre_n long, gone long, unlike binary, n_unlike long, copies long, signature binary"
+
+
+def _differences(batches):
+    """Each member of a cluster as the shingles by which it differs from the cluster's centre.
+
+    Rows are sorted by root and block, and a block's first rows are those of the root's id: its set is the centre.
+    Rows whose text has another set than they should are others under the same id.
+    """
+    at, centre, last = None, None, None
+    for batch in blocks(batches):
+        grams, cuts = shingle_sets(batch.column("text"))
+        k1, k2 = set_keys(grams, cuts)
+        fits = np.flatnonzero((k1 == batch.column("k1").to_numpy()) & (k2 == batch.column("k2").to_numpy()))
+        root, block, member, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("root", "block", "member", "id"))
+        rows = []
+        for k in fits.tolist():
+            if (root[k], block[k]) != at:
+                at, centre, last = (root[k], block[k]), grams[cuts[k] : cuts[k + 1]].copy(), None
+            if not member[k] or ids[k] == last:
+                continue
+            last = ids[k]
+            own = grams[cuts[k] : cuts[k + 1]]
+            unlike = np.setxor1d(own, centre, assume_unique=True)
+            # |own| + |centre| - 2 * |both| = |unlike|
+            gone = len(centre) - (len(own) + len(centre) - len(unlike)) // 2
+            rows.append((k, len(own), len(centre), gone, unlike.tobytes(), len(unlike)))
+        if rows:
+            k, n, whole, gone, unlike, size = (list(x) for x in zip(*rows))
+            own = batch.take(pa.array(k))
+            yield pa.RecordBatch.from_arrays([own.column("root"), own.column("id"), pa.array(n), pa.array(whole), pa.array(gone), pa.array(unlike, pa.binary()), pa.array(size), own.column("copies"), own.column("signature")], schema=_TOLD)
+
+
 def _verified(needed: np.ndarray, threshold: float):
-    """Links of each member of a cell (weighted by copies), and the least id that they connect it to."""
+    """Links of each member of a cell (weighted by copies), and the least id that they connect it to.
+
+    With sets told by their differences from one centre, what two sets share of it is what neither lacks, and what
+    they share beside it is what both differences hold: |a & b| = |c| - |c - a| - |c - b| + |(a ^ c) & (b ^ c)|.
+    """
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(batches):
@@ -215,24 +255,16 @@ def _verified(needed: np.ndarray, threshold: float):
             heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist()
             for a, b in zip(heads, [*heads[1:], len(cell)]):
                 part = table.slice(a, b - a)
-                grams, cuts = shingle_sets(part["text"].combine_chunks())
-                k1, k2 = set_keys(grams, cuts)
-                fits = (k1 == part["k1"].to_numpy()) & (k2 == part["k2"].to_numpy())  # else another text under the same id
-                ids, copies = part["id"].to_numpy(), part["copies"].to_numpy()
-                _, once = np.unique(np.where(fits, ids, np.iinfo(np.int64).max), return_index=True)
-                keep = np.zeros(len(ids), bool)
-                keep[once] = True
-                keep &= fits
+                ids, copies, size, gone = (part[c].to_numpy() for c in ("id", "copies", "n", "gone"))
+                whole = int(part["centre_n"][0].as_py())
                 signature = np.frombuffer(b"".join(part["signature"].to_pylist()), np.uint16).reshape(len(ids), HASHES)
-                sets = [grams[x:y] for x, y in zip(cuts, cuts[1:])]
-                size = np.diff(cuts)
+                unlike = [np.frombuffer(x, np.uint64) for x in part["unlike"].to_pylist()]
                 links, edges = np.zeros(len(ids), np.int64), []
                 for i, j in candidate_pairs(np.zeros(b - a), side[a:b]):
-                    ok = keep[i] & keep[j]
-                    i, j = prune(signature, i[ok], j[ok], needed)
+                    i, j = prune(signature, i, j, needed)
                     if not len(i):
                         continue
-                    shared = intersections(sets, i, j)
+                    shared = whole - gone[i] - gone[j] + intersections(unlike, i, j)
                     linked = shared >= threshold * (size[i] + size[j] - shared) - 1e-9
                     i, j = i[linked], j[linked]
                     links += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
@@ -241,7 +273,7 @@ def _verified(needed: np.ndarray, threshold: float):
                 if edges:
                     i, j = (np.concatenate(x) for x in zip(*edges))
                     root = local_roots(ids, i, j) if len(i) else ids
-                at = np.flatnonzero(keep & (links > 0))
+                at = np.flatnonzero(links > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(root[at])], schema=schema)
 
     return run
@@ -279,9 +311,13 @@ def connected_components(edges: DataFrame, work: Work, name: str) -> DataFrame:
         was = new
 
 
-def dealt_to_cells(rows: DataFrame, group: str, size: str) -> DataFrame:
-    """Adds cell and side: groups of more than CELL members are split into blocks, and each two blocks meet in a cell."""
-    blocks_of = F.greatest(F.lit(1), F.ceil(F.col(size) / CELL)).cast("int")
+def blocks_of(size: Column, weight: Column | None = None) -> Column:
+    """Blocks that a group of so many members, and so many words, is dealt to."""
+    return F.greatest(F.lit(1), F.ceil(size / CELL), *([] if weight is None else [F.least(size, F.ceil(weight / CELL_WORDS))])).cast("int")
+
+
+def dealt_to_cells(rows: DataFrame, group: str, blocks_of: Column) -> DataFrame:
+    """Adds cell and side: large groups are split into blocks, and each two blocks meet in a cell."""
     rows = rows.withColumn("_n", blocks_of).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     side = F.when(F.col("_block") == F.col("_other"), 2).when(F.col("_block") < F.col("_other"), 0).otherwise(1)
@@ -296,8 +332,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     `threshold`; a class is a connected component of links, named by its least id; n_links counts the documents
     linked to one, and copies those with the same set, itself among them. Documents with equal sets are one in
     the search. Bands of MinHash values propose pairs; the posterior prunes them step by step; what is left is
-    verified on the sets (of 64-bit hashes) exactly. Groups of any size are compared in cells of bounded size,
-    and only forests of edges and sums of links leave a cell, never its pairs.
+    verified on the sets (of 64-bit hashes) exactly: a text goes once to the tasks of its cluster, which tell it by
+    its difference from the cluster's least id, and the differences meet in cells of bounded size. Only forests of
+    edges and sums of links leave a cell, never its pairs.
     Texts that are null or without words have no shingles and no links, each a class of its own; a text of fewer
     than NGRAM words is one shingle. Rows without an id have no class and no links. Rows that repeat an id count
     as documents each, with one class and one number of links for equal sets. No rows give no rows; other columns
@@ -308,25 +345,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = least_matches(threshold, tolerance)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     features = work.table(rows.filter("doc_id IS NOT NULL").mapInArrow(_features, "doc_id long, k1 long, k2 long, n long, signature binary, bands array<long>"), "features")
-    one = features.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    one = features.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = work.table(one, "classes")
 
     banded = classes.select("id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("members")).filter("size > 1")
-    buckets = buckets.groupBy("size", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "size")  # buckets with the same members count once
+    # buckets with the same members count once; members are told by two sums of 64-bit hashes beside the least and largest id
+    told_by = [F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")]
+    buckets = banded.groupBy("bucket").agg(*told_by).filter("size > 1")
+    buckets = buckets.groupBy("size", "low", "high", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
     members = work.table(salted_join(banded, buckets, ["bucket"], "inner", F.col("id")), "members")
     signed = members.join(classes.select("id", "signature"), "id")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    meet = dealt_to_cells(signed, "bucket", "size").select("cell", "side", "id", "signature").repartition(tasks, "cell").sortWithinPartitions("cell")
+    meet = dealt_to_cells(signed, "bucket", blocks_of(F.col("size"))).select("cell", "side", "id", "signature").repartition(tasks, "cell").sortWithinPartitions("cell")
     likely = work.table(meet.mapInArrow(_likely_edges(needed), "a long, b long"), "likely")
 
     clusters = connected_components(likely, work, "likely")
     clusters = clusters.union(clusters.select("root", "root").distinct())
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    clusters = salted_join(clusters, sizes, ["root"], "inner", F.col("id"))
-    asked = work.table(clusters.join(classes.drop("bands"), "id"), "asked")
-    told = rows.join(asked, rows.doc_id == asked.id).drop("doc_id")
-    meet = dealt_to_cells(told, "root", "size").select("cell", "side", "id", "k1", "k2", "copies", "signature", "text").repartition(tasks, "cell").sortWithinPartitions("cell")
+    clusters = work.table(clusters.join(classes.drop("bands"), "id"), "clusters")
+    sizes = clusters.groupBy("root").agg(blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+    asked = salted_join(clusters, sizes, ["root"], "inner", F.col("id")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("n")
+    member = asked.drop("blocks").withColumn("member", F.lit(True))
+    centre = asked.filter("id = root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").withColumn("member", F.lit(False))
+    told = rows.join(member.unionByName(centre), F.col("doc_id") == F.col("id")).drop("doc_id")
+    told = told.repartition(tasks, "root", "block").sortWithinPartitions("root", "block", "member", "id", "k1", "k2")
+    differences = work.table(told.mapInArrow(_differences, _TOLD_SQL), "differences")
+    sizes = differences.groupBy("root").agg(blocks_of(F.count(F.lit(1)), F.sum("n_unlike")).alias("blocks"))
+    told = salted_join(differences, sizes, ["root"], "inner", F.col("id"))
+    meet = dealt_to_cells(told, "root", F.col("blocks")).select("cell", "side", "id", "n", "centre_n", "gone", "unlike", "copies", "signature").repartition(tasks, "cell").sortWithinPartitions("cell")
     verified = work.table(meet.mapInArrow(_verified(needed, threshold), "id long, links long, root long"), "verified")
     links = verified.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected_components(verified.select(F.col("id").alias("a"), F.col("root").alias("b")), work, "verified")

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -75,10 +76,12 @@ def test_near_duplicates_against_brute_force(docs, empty, texts):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
-def test_groups_larger_than_a_cell(spark, monkeypatch):
+@pytest.mark.parametrize("members, words", [(8, 1 << 19), (256, 400)])
+def test_groups_larger_than_a_cell(spark, monkeypatch, members, words):
     base = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join([*base[: k % 55], f"x{k}", *base[k % 55 + 1 :]])) for k in range(50)]
-    monkeypatch.setattr(jaccard_join, "CELL", 8)
+    monkeypatch.setattr(jaccard_join, "CELL", members)
+    monkeypatch.setattr(jaccard_join, "CELL_WORDS", words)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(map(tuple, jaccard_join.near_duplicates(df).select("doc_id", "class_id", "n_links").collect())) == brute_links(rows)
 
