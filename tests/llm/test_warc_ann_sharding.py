@@ -53,36 +53,54 @@ def brute(rows, k):
     return out
 
 
-def test_small_tables_are_searched_exactly(spark):
+def neighbours(df, is_query, **more):
+    got = defaultdict(list)
+    for r in permutation_index.nearest(df, is_query, **more).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+def test_odd_vectors_ties_and_repeated_ids(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(k, rng.normal(size=8).astype(np.float32).tolist()) for k in range(300)]
     rows += [(k, rows[5][1]) for k in range(300, 330)]
     rows += [(340, None), (360, [0.0] * 8), (380, [1.0, None] + [0.0] * 6), (400, [float("nan")] * 8), (420, [float("inf")] * 8), (440, [1.0] * 3), (None, [1.0] * 8)]
+    rows += [(460, [1.0] * 3000), (7, rows[7][1]), (20, rows[20][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    got = defaultdict(list)
-    for r in permutation_index.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
     expected = brute(rows, 20)
-    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in expected.items()}
-    assert all(np.allclose([s for _, s in got[q]], [s for _, s in v]) for q, v in expected.items())
+    for blocks in (2_048, 40):  # ties lie in one block, or in several
+        monkeypatch.setattr(permutation_index, "LEAST_BLOCK", blocks)
+        got = neighbours(df, F.col("vec_id") % 20 == 0, rerank=1.0)
+        assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in expected.items()}
+        assert all(np.allclose([s for _, s in got[q]], [s for _, s in v]) for q, v in expected.items())
     assert permutation_index.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
-    few = permutation_index.nearest(df.filter("vec_id < 4"), F.col("vec_id") == 0).collect()
-    assert len(few) == 3
+    assert len(neighbours(df.filter("vec_id < 4"), F.col("vec_id") == 0)[0]) == 3
+    other = spark.createDataFrame([*rows, (20, [0.5] * 8)], "vec_id long, embedding array<float>")
+    assert len(neighbours(other, F.col("vec_id") == 20, rerank=1.0)[20]) == 20
+
+
+def recall(got, x, asked):
+    scores = x[asked].astype(float) @ x.T.astype(float)
+    scores[np.arange(len(asked)), asked] = -9
+    return sum(len({i for i, _ in got[q]} & set(row[:20].tolist())) for q, row in zip(asked, np.argsort(-scores, axis=1))) / 20 / len(asked)
 
 
-def test_recall_of_pruned_search(spark, monkeypatch):
+def test_recall_at_the_settings_of_the_query(spark):
+    """On vectors without structure, on those of a table, and beside many copies of one vector."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(6000, 32))
+    x = rng.normal(size=(6000, 64))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    monkeypatch.setattr(permutation_index, "BLOCK_VECTORS", 4000)
-    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = defaultdict(set)
-    for r in permutation_index.nearest(df, F.col("vec_id") % 20 == 0, rerank=600).collect():
-        got[r["query_id"]].add(r["vec_id"])
-    scores = x[::20].astype(float) @ x.T.astype(float)
-    scores[np.arange(300), np.arange(0, 6000, 20)] = -9
-    hits = sum(len(got[20 * k] & set(row[:20].tolist())) for k, row in enumerate(np.argsort(-scores, axis=1)))
-    assert hits / 6000 >= 0.9
+    copies = x.copy()
+    copies[2000:4000] = x[3]
+    copies[4001:4600] = x[3] + 0.3 * x[4001:4600]
+    table = np.array([r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()])
+    for vectors in (x, table):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+        assert recall(neighbours(df, F.col("vec_id") % 20 == 0), vectors, list(range(0, len(vectors), 20))) >= 0.95
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(copies)], "vec_id long, embedding array<float>")
+    asked = [k for k in range(0, 6000, 20) if not 2000 <= k < 4600]
+    assert recall(neighbours(df, F.col("vec_id") % 20 == 0), copies, asked) >= 0.9
 
 
 def test_shards_slots_and_growth(spark, docs, empty, texts):
