@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,51 +14,79 @@ from factlattice.llm.common import Work, documents, mix64
 ROWS_PER_CELL = 50_000
 
 
-@dataclass(frozen=True)
+#: Shards of a rack, and racks of a region, of a tree of equal shards.
+RACK, REGION = 4, 2
+
+
 class Tree:
-    """Regions of racks of shards. `weights` has a positive weight (or 0: takes nothing) for each shard.
-
-    Every shard makes an exponential draw -ln(u(key, shard)) / weight. The draw of a rack is the least of its
-    shards' draws and the draw of a region the least of its racks', so a subtree draws as one node with the sum
-    of its weights would. A key descends to the region, the rack and the shard with the least draw. A draw
-    changes only where a weight below changes; so keys move only into or out of shards whose weight changed,
-    never between others of the same rack or region. (Separate draws for inner nodes would let a key that a
-    grown region attracts land on any of its racks.)
+    """Regions of racks of shards, to any depth: a node is a shard's weight (0: takes nothing) or a list of nodes.
+
+    A key descends from the root. Among the children of a node each makes an exponential draw
+    -ln(u(key, child)) / weight, where a child weighs what the shards below it weigh together, and the key goes to
+    the least draw; nothing outside the path is drawn. A draw depends on the key, the child's place in the tree and
+    its weight alone. So when weights change, keys move only into subtrees that gained and out of subtrees that
+    lost; inside a subtree whose weights stay, none move. A shard that is added as a region of its own therefore
+    takes keys only into itself, which a shard put into an old rack would not: its region gains, and keys drawn by
+    the region may land on any of its racks.
     """
 
-    weights: tuple[float, ...]
-    shards_per_rack: int = 4
-    racks_per_region: int = 2
+    def __init__(self, nodes: list):
+        self.nodes = nodes
+        self.shards = self._count(nodes)
+        if not self._weight(nodes) > 0:
+            raise ValueError("some shard needs a positive weight")
+
+    @classmethod
+    def of(cls, weights: list[float], rack: int = RACK, region: int = REGION) -> Tree:
+        """Shards with these weights in racks of `rack` and regions of `region` racks."""
+        racks = [list(weights[k : k + rack]) for k in range(0, len(weights), rack)]
+        return cls([racks[k : k + region] for k in range(0, len(racks), region)])
+
+    def grown(self, weight: float = 1.0) -> Tree:
+        """This tree and one more shard, the only one of a new region."""
+        return Tree([*self.nodes, [[weight]]])
+
+    @classmethod
+    def _count(cls, node) -> int:
+        return sum(map(cls._count, node)) if isinstance(node, list) else 1
+
+    @classmethod
+    def _weight(cls, node) -> float:
+        return sum(map(cls._weight, node)) if isinstance(node, list) else float(node)
 
     def place(self, keys: np.ndarray) -> np.ndarray:
         """The shard of each 64-bit key; ties go to the smaller number."""
-        rack_of = np.arange(len(self.weights)) // self.shards_per_rack
-        region_of = rack_of // self.racks_per_region
-        draws = np.empty((len(self.weights), len(keys)))
-        for shard, weight in enumerate(self.weights):
-            bits = mix64(keys ^ mix64(np.full(1, 0xA0761D6478BD642F + shard, np.uint64)))
-            u = ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            draws[shard] = -np.log(u) / weight if weight > 0 else np.inf
-        at = lambda groups: np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
-        racks = np.minimum.reduceat(draws, at(rack_of), axis=0)
-        regions = np.minimum.reduceat(racks, at(region_of[at(rack_of)]), axis=0)
-        region = np.argmin(regions, axis=0)
-        in_region = region_of[at(rack_of)][:, None] == region[None, :]
-        rack = np.argmin(np.where(in_region, racks, np.inf), axis=0)
-        return np.argmin(np.where(rack_of[:, None] == rack[None, :], draws, np.inf), axis=0)
-
-
-def shard_of(key: Column, weights: list[float], shards_per_rack: int = 4, racks_per_region: int = 2) -> Column:
+        out = np.zeros(len(keys), np.int64)
+
+        def descend(node, path: np.uint64, at: np.ndarray, first: int) -> None:
+            if not isinstance(node, list):
+                out[at] = first
+                return
+            own, least, chosen = keys[at], np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+            paths = [mix64(np.array([path + np.uint64(k + 1)], np.uint64))[0] for k in range(len(node))]
+            for k, child in enumerate(node):
+                weight = self._weight(child)
+                if weight > 0:
+                    u = ((mix64(own ^ paths[k]) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+                    draw = -np.log(u) / weight
+                    chosen[draw < least] = k
+                    least = np.minimum(least, draw)
+            for k, child in enumerate(node):
+                below = at[chosen == k]
+                if len(below):
+                    descend(child, paths[k], below, first)
+                first += self._count(child)
+
+        descend(self.nodes, np.uint64(0xA0761D6478BD642F), np.arange(len(keys)), 0)
+        return out
+
+
+def shard_of(key: Column, tree: Tree) -> Column:
     """The shard of a key of any type; equal keys (null among them) share a shard."""
-    tree = Tree(tuple(map(float, weights)), shards_per_rack, racks_per_region)
-    if not any(w > 0 for w in tree.weights):
-        raise ValueError("some shard needs a positive weight")
 
     @F.pandas_udf("int")
     def place(keys: pd.Series) -> pd.Series:
-        raw = keys.to_numpy(np.int64).view(np.uint64)
-        step = 1 << 14
-        return pd.Series(np.concatenate([tree.place(raw[k : k + step]) for k in range(0, len(raw), step)] or [np.zeros(0, np.int64)]).astype(np.int32))
+        return pd.Series(tree.place(keys.to_numpy(np.int64).view(np.uint64)).astype(np.int32))
 
     return place(F.xxhash64(key))
 
@@ -69,7 +95,7 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `key`: id and shard count alone decide, all shards weigh the same, and grown_shard is the shard
-    under one more shard. Slots number each shard's rows by id without gaps; rows with one id (or none: they
+    under one more shard, which is a region of its own. Slots number each shard's rows by id without gaps; rows with one id (or none: they
     come first) are numbered in any order. A null text is 16 bytes with the checksum of no bytes.
     No rows give no rows; other columns are not read.
     """
@@ -80,7 +106,8 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    rows = rows.withColumn("shard", shard_of(F.col("doc_id"), [1.0] * shards)).withColumn("grown_shard", shard_of(F.col("doc_id"), [1.0] * (shards + 1)))
+    tree = Tree.of([1.0] * shards)
+    rows = rows.withColumn("shard", shard_of(F.col("doc_id"), tree)).withColumn("grown_shard", shard_of(F.col("doc_id"), tree.grown()))
     rows = Work(spark, "sharding").table(rows, "rows")
     cells = max(1, rows.count() // (shards * ROWS_PER_CELL))
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(cells)).cast("int"))

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -128,13 +129,51 @@ def test_slots_over_several_cells(spark, monkeypatch):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 7
 
 
-def test_only_changed_weights_move_keys():
+def brute_place(node, key, path=0xA0761D6478BD642F):
+    """One key's way down, draw by draw."""
+    low = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & low
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & low
+        return x ^ (x >> 31)
+
+    weight = lambda n: sum(map(weight, n)) if isinstance(n, list) else n
+    way = []
+    while isinstance(node, list):
+        paths = [mix((path + k + 1) & low) for k in range(len(node))]
+        draws = [-math.log(((mix(key ^ p) >> 11) + 0.5) / 2**53) / weight(c) if weight(c) > 0 else math.inf for p, c in zip(paths, node)]
+        k = draws.index(min(draws))
+        way.append(k)
+        node, path = node[k], paths[k]
+    return way
+
+
+def test_keys_descend_by_their_own_draws():
+    tree = sharding.Tree.of([1.0, 2.0, 0.0, 1.5] * 5)
+    flat, ways = 0, {}
+    for region, racks in enumerate(tree.nodes):
+        for rack, shards in enumerate(racks):
+            for shard in range(len(shards)):
+                ways[region, rack, shard] = flat
+                flat += 1
+    keys = np.random.default_rng(4).integers(0, 2**63, 2_000).astype(np.uint64)
+    assert tree.place(keys).tolist() == [ways[tuple(brute_place(tree.nodes, int(k)))] for k in keys]
+    assert sharding.Tree([1.0, [2.0, [1.0, 3.0]]]).place(keys).max() == 3
+
+
+def test_keys_move_only_into_what_gained():
     keys = np.random.default_rng(3).integers(0, 2**63, 40_000).astype(np.uint64)
-    was = sharding.Tree((1.0,) * 21).place(keys)
-    share = np.bincount(was, minlength=21) / len(keys)
-    assert np.abs(share - 1 / 21).max() < 0.01
-    for weights, changed in (((1.0,) * 22, 21), ((1.0,) * 9 + (2.5,) + (1.0,) * 11, 9)):
-        now = sharding.Tree(weights).place(keys)
-        assert set(now[now != was]) == {changed}
-    less = sharding.Tree((1.0,) * 9 + (0.0,) + (1.0,) * 11).place(keys)
-    assert set(was[less != was]) == {9} and not (less == 9).any()
+    base = sharding.Tree.of([1.0] * 40)
+    was = base.place(keys)
+    assert np.abs(np.bincount(was, minlength=40) / len(keys) - 1 / 40).max() < 0.01
+    now = base.grown().place(keys)
+    assert set(now[now != was]) == {40} and abs((now == 40).mean() - 1 / 41) < 0.01
+    again = base.grown().grown(2.0).place(keys)
+    assert set(again[again != now]) == {41}
+    more = sharding.Tree.of([1.0] * 9 + [2.5] + [1.0] * 30).place(keys)  # shard 9: rack 2, region 1
+    assert set(more[more != was]) <= set(range(8, 16)) and abs((more == 9).mean() - 2.5 / 41.5) < 0.01
+    stayed = (was // 4 == 2) & (more // 4 == 2) & (more != was)
+    assert set(more[stayed]) == {9}
+    less = sharding.Tree.of([1.0] * 9 + [0.0] + [1.0] * 30).place(keys)
+    assert not (less == 9).any() and set(was[less != was]) <= set(range(8, 16))
