@@ -75,41 +75,72 @@ def test_class_probabilities_sum_to_one():
     assert c.classes[[3, 4, 6, 7]].tolist() == [0, 0, 0, 0]
 
 
-def test_raking_meets_all_marginals():
+def brute_rake(cells, tokens, targets, budget, rounds=3000):
+    """The same by plain loops: goals by bisection of a level, probabilities by alternate scaling and cutting."""
+    chance = [budget / sum(tokens)] * len(cells)
+    goals = []
+    for axis, target in enumerate(targets):
+        have = [sum(n for c, n in zip(cells, tokens) if c[axis] == v) for v in range(len(target))]
+        low, high = 0.0, 1e12
+        for _ in range(300):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(h, level * g) for h, g in zip(have, target) if h and g) < budget else (low, level)
+        goals.append([min(h, high * g) if h and g else 0.0 for h, g in zip(have, target)])
+    for _ in range(rounds):
+        for axis, goal in enumerate(goals):
+            now = [sum(p * n for c, n, p in zip(cells, tokens, chance) if c[axis] == v) for v in range(len(goal))]
+            chance = [min(1.0, p * goal[c[axis]] / now[c[axis]]) if now[c[axis]] else 0.0 for c, p in zip(cells, chance)]
+    return chance, goals
+
+
+@pytest.mark.parametrize("fraction, strong", [(0.2, 1.0), (0.6, 1.0), (0.7, 20.0), (0.95, 1.0)])
+def test_raking_meets_all_marginals_below_one(fraction, strong):
     rng = np.random.default_rng(4)
     cells = np.array([(i, j, k) for i in range(4) for j in range(3) for k in range(2)])
     tokens = rng.integers(1, 1000, len(cells)).astype(float)
-    targets = [rng.random(n) for n in (4, 3, 2)]
-    factors = mixing.rake(cells, tokens, targets)
-    for axis, target in enumerate(targets):
-        share = np.bincount(cells[:, axis], factors * tokens) / (factors * tokens).sum()
-        assert np.allclose(share, target / target.sum(), atol=1e-6)
-    chance = mixing.calibrate(factors, tokens, 0.5 * tokens.sum())
-    assert (chance <= 1).all() and np.isclose((chance * tokens).sum(), 0.5 * tokens.sum(), rtol=1e-6)
+    targets = [0.5 + rng.random(n) for n in (4, 3, 2)]
+    targets[0][1] *= strong  # with 20, more than this value has
+    budget = fraction * tokens.sum()
+    chance, goals = mixing.rake(cells, tokens, targets, budget)
+    plain, goal = brute_rake([tuple(c) for c in cells.tolist()], tokens.tolist(), [t.tolist() for t in targets], budget)
+    assert all(np.allclose(g, h, rtol=1e-6) for g, h in zip(goals, goal))
+    assert (chance <= 1).all() and np.allclose(chance, plain, atol=1e-3)
+    if fraction < 0.7:
+        for axis, g in enumerate(goals):
+            assert np.allclose(np.bincount(cells[:, axis], chance * tokens), g, rtol=1e-3)
+        assert np.isclose((chance * tokens).sum(), budget, rtol=1e-6)
 
 
 def test_mixing_draws_near_its_targets(spark, docs, empty, texts):
     many = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     goal = {f"src{k}": 1.0 for k in range(10)}
-    got = mixing.mix(many, mixing.form_topic(F.col("text")), fraction=0.2, targets={"source": goal})
-    shares = {r["source"]: r["n"] for r in got.filter("drawn").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    total = sum(shares.values())
-    assert set(shares) == set(goal) and all(abs(n / total - 0.1) < 0.03 for n in shares.values())
+    told = mixing.shares(mixing.mix(many, mixing.form_topic(F.col("text")), fraction=0.2, targets={"source": goal})).collect()
+    assert {r["value"] for r in told if r["axis"] == "source" and r["drawn"] > 0} == set(goal)
+    assert all(abs(r["expected"] - r["target"]) < 1e-6 and abs(r["drawn"] - r["target"]) < 0.03 for r in told)
+    assert all(abs(r["target"] - 0.1) < 1e-9 for r in told if r["value"] in goal)
+    whole = mixing.shares(mixing.mix(many, mixing.form_topic(F.col("text")))).collect()
+    assert all(abs(r["expected"] - r["target"]) < 1e-3 for r in whole)
     odd = mixing.mix(docs, mixing.form_topic(F.col("text")), fraction=1.0).collect()
-    assert len(odd) == len(texts) and all(r["tokens"] >= 1 for r in odd)
+    assert len(odd) == len(texts) and all(r["tokens"] >= 1 and r["drawn"] for r in odd)
+    topics = {r["doc_id"]: r["topic"] for r in odd}
+    assert topics[101] == "(none)" and topics[100] == topics[103] == "short"
+    part = mixing.mix(docs, mixing.form_topic(F.col("text")), fraction=0.5).collect()
+    assert len(part) == len(texts) and {"(none)"} < {r["source"] for r in part} and {"(none)"} < {r["lang"] for r in part}
+    assert all(r["probability"] > 0 for r in part if r["source"] == "(none)" or r["lang"] == "(none)")
     assert mixing.mix(empty, mixing.form_topic(F.col("text"))).count() == 0
 
 
 @pytest.mark.parametrize("held", [1 << 17, 0])
 def test_mixing_rakes_every_source_to_its_own_share(spark, monkeypatch, held):
-    monkeypatch.setattr(mixing, "CELLS", held, raising=False)
-    sizes = {f"s{k:03}": 1 + k % 7 for k in range(164)}
+    monkeypatch.setattr(mixing, "CELLS", held)
+    sizes = {f"s{k:03}": 1 + k % 7 for k in range(200)}
     many = spark.createDataFrame([(k, "w " * n, "aa", s) for k, (s, n) in enumerate(sizes.items())], "doc_id long, text string, lang string, source string")
-    got = mixing.mix(many, F.lit("t"), fraction=0.5).collect()
+    got = mixing.mix(many, F.lit("t"), fraction=0.3).collect()
     total, roots = sum(sizes.values()), sum(n**0.5 for n in sizes.values())
     assert len(got) == len(sizes)
-    assert all(abs(r["factor"] * r["tokens"] / total - sizes[r["source"]] ** 0.5 / roots) < 1e-8 for r in got)
-    assert abs(sum(r["probability"] * r["tokens"] for r in got) / total - 0.5) < 1e-8
+    for r in got:
+        share = sizes[r["source"]] ** 0.5 / roots
+        assert abs(r["source_target"] - share) < 1e-9 and abs(r["probability"] * r["tokens"] / total / 0.3 - share) < 1e-8
 
 
 def test_mixing_as_a_table_equals_mixing_in_the_driver(spark, monkeypatch, docs, texts):
@@ -118,7 +149,7 @@ def test_mixing_as_a_table_equals_mixing_in_the_driver(spark, monkeypatch, docs,
     for held in (1 << 17, 0):
         monkeypatch.setattr(mixing, "CELLS", held)
         rows = mixing.mix(docs, mixing.form_topic(F.col("text")), fraction=0.4, targets={"source": {"s0": 2.0, "s1": 1.0, "absent": 5.0}}).collect()
-        found.append(sorted((*(str(r[c]) for c in ("doc_id", "source", "lang", "topic", "tokens")), r["factor"], r["probability"]) for r in rows))
+        found.append(sorted((*(str(r[c]) for c in ("doc_id", "source", "lang", "topic", "tokens")), r["probability"], r["source_target"], r["topic_target"]) for r in rows))
     assert len(found[0]) == len(texts) and [x[:5] for x in found[0]] == [x[:5] for x in found[1]]
     assert np.allclose([x[5:] for x in found[0]], [x[5:] for x in found[1]], rtol=1e-6)
 
