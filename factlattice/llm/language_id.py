@@ -10,12 +10,11 @@ from pyspark.sql.window import Window
 
 from factlattice.llm.common import blocks, documents
 
-#: Labelled documents that the classifier is fitted on at most, for each language; those with the least hashes.
+#: The sample that the classifier is fitted on: labelled documents of a language at most, those with the least hashes,
+#: and windows of them. Windows and landmarks are shared out evenly over the languages, with at least so many of each.
 PER_LANGUAGE = 400
-#: Languages that are learned at most: the most frequent ones.
-LANGUAGES = 128
-#: Windows of the sample that serve as landmarks, and that the ridge regression is fitted on, at most.
-LANDMARKS, FITTED_WINDOWS = 256, 4_000
+FITTED_WINDOWS, LEAST_WINDOWS = 4_000, 24
+LANDMARKS, LEAST_LANDMARKS = 256, 1
 #: Spectra of 1 to N_MAX bytes share one hashed space; a long text is scored in windows of this many bytes.
 N_MAX, SPACE, WINDOW = 4, 1 << 15, 2_048
 RIDGE = 1e-2
@@ -51,14 +50,18 @@ def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 class Classifier:
     """One-versus-rest kernel ridge regression on Nyström features of the blended-spectrum presence kernel."""
 
-    def __init__(self, texts: list[bytes], langs: list[str], seed: int = 7):
+    def __init__(self, windows: list[bytes], langs: list[str], seed: int = 7):
+        """From windows of texts and their languages; of each language the first windows, in an order by `seed`, are landmarks."""
         self.langs = sorted(set(langs))
-        rng = np.random.Generator(np.random.PCG64(seed))
-        spans = [(k, a) for k, t in enumerate(texts) for a in range(0, max(1, len(t) - N_MAX + 1), WINDOW)]
-        spans = [spans[k] for k in rng.permutation(len(spans))[:FITTED_WINDOWS]]
-        windows = [texts[k][a : a + WINDOW] for k, a in spans]
-        label = np.array([self.langs.index(langs[k]) for k, _ in spans])
-        landmarks = presence(windows[:LANDMARKS])[0]
+        order = np.random.Generator(np.random.PCG64(seed)).permutation(len(windows)).tolist()
+        windows, langs = [windows[k] for k in order], [langs[k] for k in order]
+        number = {x: k for k, x in enumerate(self.langs)}
+        label = np.array([number[x] for x in langs])
+        place = np.empty(len(label), np.int64)  # of a window among those of its language
+        by = np.argsort(label, kind="stable")
+        place[by] = np.arange(len(label)) - np.searchsorted(label[by], label[by])
+        chosen = np.flatnonzero(place < max(LEAST_LANDMARKS, -(-LANDMARKS // len(self.langs))))
+        landmarks = presence([windows[k] for k in chosen.tolist()])[0]
         between = kernel(landmarks, landmarks)
         values, vectors = np.linalg.eigh(between.astype(np.float64))
         keep = values > 1e-6 * values[-1]
@@ -123,21 +126,29 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Classifier | None:
-    """A classifier from (text, lang, doc_id): of each language the `per_language` documents with the least hashes.
+    """A classifier from (text, lang, doc_id), of every language that occurs.
 
-    Counts of languages bound the hashes first, so that only about twice that many rows are sorted.
+    It is fitted on windows of `per_language` documents of each language, those with the least hashes; counts of
+    languages bound the hashes first, so that only about twice that many rows are sorted. Windows are cut on the
+    executors; LEAST_WINDOWS or more of each language come to the driver, a share of FITTED_WINDOWS where that is more.
     """
     with_letters = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = with_letters.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = [(r["lang"], min(1.0, (2.0 * per_language + 50.0) / r["count"])) for r in with_letters.groupBy("lang").count().collect()]
     if not counts:
         return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * per_language / r["count"] + 50.0 / r["count"])))])
+    shares = F.broadcast(docs.sparkSession.createDataFrame(counts, "lang string, share double"))
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = with_letters.withColumn("u", u).filter(F.col("u") <= share[F.col("lang")])
+    near = with_letters.withColumn("u", u).join(shares, "lang").filter("u <= share").drop("share")
     best = Window.partitionBy("lang").orderBy("u", "doc_id")
-    sample = near.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= per_language).select("lang", "text").collect()
-    sample = sorted(sample, key=lambda r: (r["lang"], r["text"]))
-    return Classifier([r["text"].encode() for r in sample], [r["lang"] for r in sample]) if sample else None
+    sample = near.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= per_language)
+    raw = F.col("text").cast("binary")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(raw) - N_MAX), F.lit(WINDOW))
+    cut = sample.select("lang", "u", F.posexplode(F.transform(starts, lambda a: F.substring(raw, a + 1, F.lit(WINDOW)))).alias("k", "window"))
+    n = max(LEAST_WINDOWS, -(-FITTED_WINDOWS // len(counts)))
+    best = Window.partitionBy("lang").orderBy(F.xxhash64("u", "k"), "window")
+    windows = cut.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n).select("lang", "window").collect()
+    windows = sorted((r["lang"], bytes(r["window"])) for r in windows)
+    return Classifier([w for _, w in windows], [lang for lang, _ in windows])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", undetermined: str = "und") -> DataFrame:

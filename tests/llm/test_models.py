@@ -32,6 +32,39 @@ def test_language_id_of_odd_rows(docs, empty, texts):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_scores_are_those_of_kernel_ridge_regression():
+    """Against the dual form, with every window a landmark and kernels of sets of n-grams."""
+    rng = np.random.default_rng(6)
+    windows = [bytes(rng.choice(np.frombuffer(a, np.uint8), 60)) for a in (b"abcde ", b"cdefg ", b"efghi ") for _ in range(12)]
+    langs = [x for x in ("a", "c", "e") for _ in range(12)]
+    model = language_id.Classifier(windows, langs)
+    code = lambda w: {int(x) for x in np.flatnonzero(language_id.presence([w])[0][0])}
+    sets = [code(w) for w in windows]
+    k = lambda s, t: len(s & t) / math.sqrt(len(s) * len(t))
+    gram = np.array([[k(s, t) for t in sets] for s in sets])
+    # primal on whitened features equals the dual with a bias as one more, unit feature
+    target = np.array([[float(x == y) for y in "ace"] for x in langs])
+    dual = np.linalg.solve(gram + 1 + language_id.RIDGE * np.eye(len(gram)), target)
+    asked = [bytes(rng.choice(np.frombuffer(b"bcdefgh ", np.uint8), 60)) for _ in range(10)]
+    expected = np.array([[k(code(w), s) + 1 for s in sets] for w in asked]) @ dual
+    assert np.allclose(model.scores(asked), expected, atol=2e-3)
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(7)
+    rows, k = [], 0
+    for lang in range(200):
+        letters = rng.permutation([chr(97 + x) for x in range(26)])[:8]
+        for _ in range(4 if lang else 400):
+            rows.append((k, " ".join("".join(rng.choice(letters, 5)) for _ in range(60)), f"l{lang:03}"))
+            k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert len({r["lang_pred"] for r in got}) >= 0.97 * len(learned)
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.9
+
+
 def test_windows_cover_every_ngram():
     text = bytes(np.random.default_rng(0).integers(97, 123, 5000).astype(np.uint8))
     rows, _ = language_id.presence([text])
