@@ -19,6 +19,8 @@ from factlattice.llm.common import Work, salted_join
 CHUNK = 1 << 20
 #: Uncompressed bytes after which a writer begins another archive.
 ARCHIVE_BYTES = 256 << 20
+#: Bytes of a record's head at most.
+HEAD_BYTES = 1 << 20
 #: zlib's level for archives; inflating costs the same at any level.
 LEVEL = 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -30,6 +32,7 @@ class Inflated:
 
     def __init__(self, source):
         self.source, self.held, self.at, self.inflater, self.ended = source, b"", 0, zlib.decompressobj(31), False
+        self.fed, self.broken = False, False
 
     def _more(self) -> bool:
         while not self.ended:
@@ -40,8 +43,9 @@ class Inflated:
                     break
                 self.inflater = zlib.decompressobj(31)
             if not raw:
-                self.ended = True  # the file breaks off inside a member
+                self.ended, self.broken = True, self.fed  # the file breaks off inside a member
                 break
+            self.fed = True
             new = self.inflater.decompress(raw, CHUNK)
             if new:
                 self.held, self.at = self.held[self.at :] + new, 0
@@ -49,11 +53,11 @@ class Inflated:
         return False
 
     def until(self, mark: bytes) -> bytes | None:
-        """The bytes up to and with the mark; None at the end of the stream."""
+        """The bytes up to and with the mark; None if HEAD_BYTES or the rest of the stream are without it."""
         seek = self.at
         while (found := self.held.find(mark, seek)) < 0:
             kept = len(self.held) - self.at
-            if not self._more():
+            if kept > HEAD_BYTES or not self._more():
                 return None
             seek = self.at + max(0, kept - len(mark))
         out, self.at = self.held[self.at : found + len(mark)], found + len(mark)
@@ -142,27 +146,27 @@ def normalise_stream(source, sink, level: int = LEVEL) -> tuple[list[tuple], int
     """Inflates source once and writes each record to sink as its own gzip member.
 
     Gives (offset, length, type, record id) for each record, and the number of bytes-level faults: a record
-    that breaks off, or bytes that begin no record, end the file there and count as one.
+    that breaks off, or bytes that begin no record, end the file there and count as one; so do bytes that zlib
+    cannot inflate.
     """
     stream, index, offset = Inflated(source), [], 0
     while True:
-        head = stream.until(b"\r\n\r\n")
-        if head is None:
-            return index, int(stream.at < len(stream.held))
         try:
+            head = stream.until(b"\r\n\r\n")
+            if head is None:
+                return index, int(stream.broken or stream.at < len(stream.held))
             fields = header_fields(head.lstrip(b"\r\n"))
             n = int(fields["content-length"])
-        except (ValueError, KeyError):
+            packer = zlib.compressobj(level, wbits=31)
+            parts, left, length = [packer.compress(head.lstrip(b"\r\n"))], n + 4, 0
+            for piece in stream.pieces(n + 4):
+                left -= len(piece)
+                parts.append(packer.compress(piece))
+                if sum(map(len, parts)) >= CHUNK:
+                    length += sink.write(b"".join(parts)) or sum(map(len, parts))
+                    parts = []
+        except (ValueError, KeyError, zlib.error):
             return index, 1
-        packer = zlib.compressobj(level, wbits=31)
-        parts, left = [packer.compress(head.lstrip(b"\r\n"))], n + 4
-        length = 0
-        for piece in stream.pieces(n + 4):
-            left -= len(piece)
-            parts.append(packer.compress(piece))
-            if sum(map(len, parts)) >= CHUNK:
-                length += sink.write(b"".join(parts)) or sum(map(len, parts))
-                parts = []
         parts.append(packer.flush())
         sink.write(b"".join(parts))
         length += sum(map(len, parts))
@@ -236,13 +240,22 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     return archives.select("archive", "index").mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, archive string, offset long, length long, payload binary")
 
 
+def check_whole(written: DataFrame, normalised: DataFrame) -> None:
+    """Raises unless the normalised archives hold every record that was written, without a fault."""
+    records = written.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    found, faults = normalised.agg(F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("faults"), F.lit(0))).first()
+    if found != records or faults:
+        raise ValueError(f"{records} records were written, {found} were found, and {faults} archives break off")
+
+
 def round_trip(pages: DataFrame, min_payload_bytes: int = 0) -> DataFrame:
-    """Writes pages to monolithic archives, normalises them and reads them back."""
+    """Writes pages to monolithic archives, normalises them and reads them back; raises if records were lost on the way."""
     spark = pages.sparkSession
     work = Work(spark, "warc")
     whole = work.table(write_archives(pages, f"{work.path}/monolithic", min_payload_bytes), "whole")
     n = max(1, whole.count())
     split = work.table(normalise_archives(whole.repartition(n), f"{work.path}/monolithic", f"{work.path}/records"), "split")
+    check_whole(whole, split)
     return read_archives(split.repartition(n), f"{work.path}/records")
 
 

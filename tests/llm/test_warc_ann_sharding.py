@@ -6,6 +6,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from factlattice.llm import permutation_index, sharding, warc
@@ -44,6 +45,18 @@ def test_normaliser_makes_a_member_of_each_record_and_stops_at_faults():
         assert (len(index), faults) == (n, 1)
 
 
+def test_archives_that_break_off_are_told(spark):
+    whole = gzip.compress(b"".join(warc.record_head(k, "u", "response", "D", 3, None) + b"abc\r\n\r\n" for k in range(50)))
+    for broken in (whole[:60], whole[:40] + b"\0" * 40, gzip.compress(b"x" * (3 * warc.HEAD_BYTES))):
+        index, faults = warc.normalise_stream(io.BytesIO(broken), io.BytesIO())
+        assert len(index) < 50 and faults == 1
+    written = spark.createDataFrame([("a", 5), ("b", 7)], "archive string, records long")
+    warc.check_whole(written, spark.createDataFrame([(12, 0)], "records long, faults long"))
+    for told in ((11, 0), (12, 1)):
+        with pytest.raises(ValueError, match="12 records"):
+            warc.check_whole(written, spark.createDataFrame([told], "records long, faults long"))
+
+
 def brute(rows, k):
     fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(v) and len(v) == 8]
     out = {}
