@@ -7,10 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlattice.llm.common import SEPARATOR_RUN, Work, documents, parallelism
+from factlattice.llm.common import SEPARATOR_RUN, Work, documents, parallelism, salted_join
 
 #: Fingerprints of repeated texts that are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
+#: Rows whose fingerprints one task merges, about (16 bytes each).
+RANGE_ROWS = 1 << 22
 
 
 class CountingQuotientFilter:
@@ -115,12 +117,24 @@ def _build_filters(ranges: int, flush: int):
 
 
 def _merge_filters(batches):
-    """Merges the filters of each range; gives the fingerprints counted more than once."""
+    """Merges the filters of each range; gives the fingerprints counted more than once.
+
+    Filters wait until they hold as much as what is merged, so that each is merged a few times only.
+    """
     merged: dict[int, CountingQuotientFilter] = {}
+    waiting: dict[int, list[CountingQuotientFilter]] = {}
+
+    def merge(part: int) -> None:
+        runs = [x.items() for x in ([merged[part]] if part in merged else []) + waiting.pop(part)]
+        merged[part] = CountingQuotientFilter.build(*sum_sorted(runs))
+
     for batch in batches:
         for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            new = CountingQuotientFilter.from_bytes(raw)
-            merged[part] = merged[part].merge(new) if part in merged else new
+            waiting.setdefault(part, []).append(CountingQuotientFilter.from_bytes(raw))
+            if sum(len(x.used) for x in waiting[part]) > max(1 << 16, len(merged[part].used) if part in merged else 0):
+                merge(part)
+    for part in list(waiting):
+        merge(part)
     for one in merged.values():
         keys, counts = one.items()
         keys = keys[counts > 1]
@@ -130,7 +144,7 @@ def _merge_filters(batches):
 def repeated_fingerprints(fingerprints: DataFrame, ranges: int, flush: int = 1 << 21) -> DataFrame:
     """The values of a non-null long column that occur more than once, by filters built per partition.
 
-    One task builds filters of at most `flush` fingerprints; `ranges` tasks each merge one range of quotients.
+    One task builds filters of about `flush` fingerprints; `ranges` tasks each merge one range of quotients.
     """
     filters = fingerprints.mapInArrow(_build_filters(ranges, flush), "part int, filter binary")
     return filters.repartition(ranges, "part").mapInArrow(_merge_filters, "fingerprint long")
@@ -141,7 +155,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when their bytes are, after each run of white space became one space; null counts as
     empty. The row with the smallest id stays. Fingerprints that the merged filters count once need no more
-    work; rows of the others are grouped by their whole bytes, so a collision of fingerprints parts them.
+    work; rows of the others are grouped by their whole bytes, so a collision of fingerprints parts them, and each
+    row finds its group by fingerprint and SHA-256.
     A null id is larger than all others; rows that repeat an id in a group share its decision. No rows give
     no rows; other columns are not read.
     """
@@ -149,7 +164,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     work = Work(spark, "exact-dedup")
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SEPARATOR_RUN, " ")
     rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).withColumn("fingerprint", F.xxhash64("norm"))
-    repeated = work.table(repeated_fingerprints(rows.select("fingerprint"), parallelism(spark)), "repeated")
+    ranges = max(parallelism(spark), -(-docs.count() // RANGE_ROWS))
+    repeated = work.table(repeated_fingerprints(rows.select("fingerprint"), ranges), "repeated")
     n = repeated.count()
     if n <= BROADCAST_ROWS:
         repeated = F.broadcast(repeated)
@@ -160,9 +176,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     routed = rows.join(repeated, "fingerprint", "left_semi")
     # bytes decide: the group key is the whole text; equal texts of one task are one row before the shuffle
     groups = routed.groupBy("fingerprint", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.withColumn("text_sha256", sha).withColumn("_salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(16)])))
-    routed = routed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
-    verified = routed.join(groups, ["fingerprint", "_salt", "norm"])
+    groups = groups.select("fingerprint", sha.alias("text_sha256"), "keep_id", "group_size")
+    named = routed.select("doc_id", "fingerprint", sha.alias("text_sha256"))
+    verified = salted_join(named, groups, ["fingerprint", "text_sha256"], "inner", F.col("doc_id"))
     return single.unionByName(verified.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
 
 

@@ -45,6 +45,15 @@ def test_filters_round_trip_and_merge_without_loss(left, right):
     assert (np.diff(keys.astype(object)) > 0).all() if len(keys) > 1 else True
 
 
+def test_filters_of_many_tasks_and_ranges(spark):
+    from pyspark.sql import functions as F
+
+    values = spark.range(60_000, numPartitions=40).select((F.xxhash64(F.col("id") % 40_000)).alias("fingerprint"))
+    got = exact_dedup.repeated_fingerprints(values, 7, flush=300)
+    expected = spark.range(20_000).select(F.xxhash64("id").alias("fingerprint"))
+    assert got.count() == 20_000 and got.subtract(expected).isEmpty()
+
+
 def brute_links(rows, threshold=0.8):
     sets = []
     for doc_id, text, *_ in rows:
