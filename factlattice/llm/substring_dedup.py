@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlattice.llm.common import Work, Words, blocks, documents, inside, mix64, ngram_hashes, parallelism
+from factlattice.llm.common import Work, Words, blocks, documents, inside, mix64, ngram_hashes, parallelism, salted_join
 
 #: Words of a window, and of the phrases that propose windows.
 WINDOW, PHRASE = 20, 8
 #: Bits of the filter of recurring phrases: 16 for each, in 64 slices, this many at most (32 MB).
 MAX_BITS, SLICES = 1 << 28, 64
+#: Repeated texts that are sent to all executors at most (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
 #: Distinct phrases that a task holds before it hands its counts on.
 HELD = 1 << 20
 
@@ -88,10 +90,20 @@ def _count_phrases(window: int, phrase: int):
 
 
 def _bits(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slice of each hash, and its two bits there; slices hold `width` bits."""
+    """The slice of each hash, and its two bits there; slices hold `width` bits.
+
+    Winnowing keeps the least hashes, so their own high bits are mostly zero: all bits are taken from a mix of them.
+    """
     spread = mix64(hashes ^ np.uint64(0x5851F42D4C957F2D))
     low = np.uint64(width - 1)
-    return (hashes >> np.uint64(58)).astype(np.int64), (spread & low).astype(np.int64), ((spread >> np.uint64(32)) & low).astype(np.int64)
+    return (spread >> np.uint64(58)).astype(np.int64), (spread & low).astype(np.int64), ((spread >> np.uint64(29)) & low).astype(np.int64)
+
+
+def _dealt(batches):
+    """Phrases with the slice that each belongs to."""
+    for batch in batches:
+        part, _, _ = _bits(batch.column(0).to_numpy().view(np.uint64), 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32))], ["phrase", "part"])
 
 
 def _fill_slices(width: int):
@@ -194,12 +206,43 @@ def _remove(window: int):
     return run
 
 
+def _whole_copies(window: int):
+    """Rows for texts that begin in an earlier document already: all words go, if they fill a window."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+
+    def run(batches):
+        for batch in blocks(batches):
+            words = Words(batch.column("text"))
+            n = np.diff(words.first)
+            kept = [None if m >= window else b" ".join(words.raw(k)) for k, m in enumerate(n.tolist())]
+            sha = [hashlib.sha256(x or b"").hexdigest() for x in kept]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(np.where(n >= window, n, 0)), pa.array(sha), pa.array(["" if x is None else None for x in kept], pa.string())], schema=schema)
+
+    return run
+
+
+def split_copies(rows: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
+    """The rows whose text no document with a smaller id has, and the others. Texts are told by their SHA-256."""
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    groups = rows.groupBy(sha.alias("sha")).agg(F.min(key).alias("least"), F.max(key).alias("most")).filter("least < most").select("sha", "least")
+    groups = work.table(groups, "copied")
+    n = groups.count()
+    if not n:
+        return rows, rows.limit(0)
+    hashed = rows.withColumn("sha", sha)
+    known = hashed.join(F.broadcast(groups), "sha", "left") if n <= BROADCAST_ROWS else salted_join(hashed, groups, ["sha"], "left", F.col("doc_id"))
+    later = F.col("least").isNotNull() & (F.col("least") < key)
+    return known.filter(~later).select(*rows.columns), known.filter(later).select(*rows.columns)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text (null where all of the text stays).
 
     A window is `window` consecutive words of one document. Each word goes that a window covers whose words also
-    begin earlier: in a document with a smaller id, or before in the same one. Phrases that recur anywhere propose
-    windows: winnowing gives each window one of its phrases, counted over all documents; automata of the recurring
+    begin earlier: in a document with a smaller id, or before in the same one. A text that a document with a smaller
+    id has goes whole, and since all its windows begin there earlier, the others are judged without it. In these,
+    phrases that recur anywhere propose windows: winnowing gives each window one of its phrases, counted over all documents; automata of the recurring
     ones, one for each block of documents, locate every occurrence there; the windows around them are grouped by
     their whole word sequence (a 64-bit hash of 64-bit word hashes), and all but the first of a group are removed.
     A null text has no words; a document of fewer words than a window stays. A null id comes before all others;
@@ -209,12 +252,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     work = Work(spark, "substring-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
+    rows, copies = split_copies(rows, work)
     counted = rows.select("text").mapInArrow(_count_phrases(window, phrase), "phrase long, n int")
     recurring = work.table(counted.groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1").select("phrase"), "phrases")
     n = recurring.count()
     width = max(64, min(MAX_BITS, 1 << int(16 * max(1, n) - 1).bit_length()) // SLICES)
     tasks = max(1, min(SLICES, parallelism(spark)))
-    filled = recurring.repartition(tasks, F.shiftrightunsigned("phrase", 58)).mapInArrow(_fill_slices(width), "part int, bits binary")
+    filled = recurring.mapInArrow(_dealt, "phrase long, part int").repartition(tasks, "part").mapInArrow(_fill_slices(width), "part int, bits binary")
     slices: dict[int, bytes] = {}
     for r in filled.collect():  # SLICES slices of a bounded size, each from one task
         slices[r["part"]] = bytes(r["bits"])
@@ -245,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cleaned = rows.withColumn("of", of).join(touched.join(stay, "of", "left"), "of").filter(same).select("doc_id", "text", "starts", "lengths", "stay")
     cleaned = cleaned.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     whole = located.filter("size(starts) = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
-    return cleaned.unionByName(whole)
+    return cleaned.unionByName(whole).unionByName(copies.select("doc_id", "text").mapInArrow(_whole_copies(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

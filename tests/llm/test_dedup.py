@@ -142,3 +142,12 @@ def test_winnowing_selects_a_phrase_of_every_window():
     p = substring_dedup.Phrases(pa.array(texts), 20, 8)
     assert p.windows.sum() == sum(max(0, len(t.split()) - 19) for t in texts)
     assert set(p.covering(p.at, 20, 8)) == set(np.flatnonzero(p.windows))
+
+
+def test_slices_of_the_phrase_filter_fill_evenly():
+    rng = np.random.default_rng(3)
+    least = rng.integers(0, 2**64, (13, 40_000), dtype=np.uint64).min(axis=0)  # as winnowing picks them
+    part, one, two = substring_dedup._bits(least, 1 << 16)
+    share = np.bincount(part, minlength=substring_dedup.SLICES) / len(least) * substring_dedup.SLICES
+    assert 0.8 < share.min() and share.max() < 1.2
+    assert abs(np.mean(one) / (1 << 15) - 1) < 0.02 and abs(np.mean(two) / (1 << 15) - 1) < 0.02
