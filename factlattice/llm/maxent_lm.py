@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from factlattice.llm.common import Work, Words, blocks, documents, mix64, parallelism
 
-#: Buckets of hashed context features, and classes of words; class 0 is the end alone.
-BUCKETS, CLASSES = 1 << 15, 32
+#: Classes of words; class 0 is the end alone.
+CLASSES = 32
+#: Buckets of hashed context features: one for so many bytes of training text, a power of two between these bounds
+#: (the parameters of the most, 64 MB, are what is sent to all executors).
+BYTES_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 2_048, 1 << 15, 1 << 19
 #: Gradient updates over all training documents after the first, which needs only counts.
-UPDATES = 1
-#: Shares of a full step (features overlap) for the first and for later updates, and the weight of no evidence.
-FIRST_STEP, STEP, DAMPING = 0.3, 0.5, 4.0
+UPDATES = 3
+#: Shares of a full step (features overlap) for the first update, and for the k-th after it STEP / k ** FALL; the
+#: weight of no evidence.
+FIRST_STEP, STEP, FALL, DAMPING = 0.3, 0.5, 0.5, 4.0
 #: Words whose counts are sent to all executors at most (16 bytes each); the others are looked up by a join.
 FREQUENT = 1 << 20
 #: Distinct words that a task holds before it hands its counts on.
@@ -33,7 +37,7 @@ class Contexts:
     Features of a token are the word before, the two words before, and (a skip) the second word before alone.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, buckets: int):
         words = Words(texts, lower=True)
         hashed, n = words.hashes(), len(words.first) - 1
         second = np.minimum(words.starts + 1, words.ends - 1)
@@ -54,7 +58,7 @@ class Contexts:
         one[self.starts], two[self.starts] = 1, 2
         later = self.starts + 1
         two[later[later <= self.end]] = 2
-        bucket = lambda x: (mix64(x) >> np.uint64(49)).astype(np.uint16)
+        bucket = lambda x: (mix64(x) >> np.uint64(65 - buckets.bit_length())).astype(np.int32)
         self.features = np.stack([bucket(one + np.uint64(11)), bucket(one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(12)), bucket(two + np.uint64(13))])
 
     def logits(self, theta: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -78,17 +82,34 @@ class Contexts:
         return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
-def _blobs(kind: int, table: np.ndarray) -> list[dict]:
-    return [{"kind": kind, "word": k, "n": 0, "class": 0, "values": table[k * SLICE : (k + 1) * SLICE].tobytes()} for k in range(len(table) // SLICE)]
+def bucket_number(text_bytes: int) -> int:
+    """Buckets for so many bytes of training text."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (max(1, -(-text_bytes // BYTES_PER_BUCKET)) - 1).bit_length()))
+
+
+def _blobs(kind: int, table: np.ndarray) -> pa.RecordBatch:
+    """The slices of a table that hold anything."""
+    slices = table.astype(np.float32, copy=False).reshape(-1, SLICE * table.shape[1])
+    at = np.flatnonzero(slices.any(axis=1))
+    n = len(at)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(at), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array([slices[k].tobytes() for k in at.tolist()], pa.binary())], schema=_GATHERED)
 
 
 _GATHERED = pa.schema([("kind", pa.int32()), ("word", pa.int64()), ("class", pa.int32()), ("n", pa.int64()), ("values", pa.binary())])
 _GATHERED_SQL = "kind int, word long, class int, n long, values binary"
 
 
-def _gather(batches):
+def _gather(buckets: int):
     """Counts of words and of (feature, class) pairs in a task's training texts. kind 0: words, 1: pairs, 2: the ends."""
-    pairs, flat, held, texts = np.zeros(BUCKETS * CLASSES), [], [], 0
+
+    def run(batches):
+        yield from _gathered(batches, buckets)
+
+    return run
+
+
+def _gathered(batches, buckets: int):
+    pairs, flat, held, texts = np.zeros(buckets * CLASSES, np.uint32), [], [], 0
 
     def merge(parts):
         key, n, of = (np.concatenate(x) for x in zip(*parts))
@@ -102,14 +123,14 @@ def _gather(batches):
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(key.view(np.int64)), pa.array(of.astype(np.int32)), pa.array(n), pa.nulls(m, pa.binary())], schema=_GATHERED)
 
     for batch in blocks(batches, size=TEXT_BYTES):
-        c = Contexts(batch.column("text"))
+        c = Contexts(batch.column("text"), buckets)
         texts += batch.num_rows
         key, at, n = np.unique(c.word[c.is_word], return_index=True, return_counts=True)
         if len(key):
             held.append((key, n, c.classes[c.is_word][at]))
         flat.append((c.features.astype(np.int64) * CLASSES + c.classes).ravel())
         if sum(map(len, flat)) > 1 << 22:
-            pairs += np.bincount(np.concatenate(flat), minlength=len(pairs))
+            pairs += np.bincount(np.concatenate(flat), minlength=len(pairs)).astype(np.uint32)
             flat = []
         if len(held) > 15:
             held = [merge(held)]
@@ -120,25 +141,38 @@ def _gather(batches):
         if held:
             yield words_out(*merge(held))
         if flat:
-            pairs += np.bincount(np.concatenate(flat), minlength=len(pairs))
-        yield pa.RecordBatch.from_pylist([*_blobs(1, pairs.reshape(BUCKETS, CLASSES)), {"kind": 2, "word": 0, "class": 0, "n": texts, "values": None}], _GATHERED)
+            pairs += np.bincount(np.concatenate(flat), minlength=len(pairs)).astype(np.uint32)
+        yield _blobs(1, pairs.reshape(buckets, CLASSES))
+        yield pa.RecordBatch.from_pylist([{"kind": 2, "word": 0, "class": 0, "n": texts, "values": None}], _GATHERED)
+
+
+def add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] += rows, where places repeat."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    table[at[heads]] += np.add.reduceat(rows[order], heads, axis=0)
 
 
 def _gradient(model):
+    """The gradient of a task's log likelihood by each parameter. kind 1: slices of it, 3: the log likelihood itself."""
+
     def run(batches):
         theta, bias = model.value
-        total, seen = np.zeros((CLASSES, BUCKETS)), False
+        total, likelihood, seen = np.zeros(theta.shape, np.float32), 0.0, False
         for batch in blocks(batches, size=TEXT_BYTES):
-            c = Contexts(batch.column("text"))
-            rest = -c.probabilities(theta, bias)
-            rest[np.arange(len(rest)), c.classes] += 1
-            features = c.features.astype(np.int64)
-            for sums, own in zip(total, rest.T.astype(np.float64)):
-                for feature in features:
-                    sums += np.bincount(feature, own, BUCKETS)
+            c = Contexts(batch.column("text"), len(theta))
+            p = c.probabilities(theta, bias)
+            own = np.arange(len(p)), c.classes
+            likelihood += float(np.log(p[own].astype(np.float64)).sum())
+            np.negative(p, out=p)
+            p[own] += 1
+            for feature in c.features:
+                add_rows(total, feature, p)
             seen = True
         if seen:
-            yield pa.RecordBatch.from_pylist(_blobs(1, np.ascontiguousarray(total.T)), _GATHERED)
+            yield _blobs(1, total)
+            yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([0]), pa.array([0], pa.int32()), pa.array([0]), pa.array([np.float64(likelihood).tobytes()], pa.binary())], schema=_GATHERED)
 
     return run
 
@@ -148,33 +182,69 @@ def _sum_blobs(batches):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch.column("word").to_pylist(), batch.column("values").to_pylist()):
-            new = np.frombuffer(raw)
-            sums[k] = sums[k] + new if k in sums else new
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["word", "values"])
+            new = np.frombuffer(raw, np.float32)
+            if k in sums:
+                sums[k] += new
+            else:
+                sums[k] = new.astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["word", "values"])
 
 
-def _collect_table(blobs: DataFrame) -> np.ndarray:
-    """The sum over all tasks of a table of BUCKETS rows, which has a fixed size."""
-    tasks = max(1, min(BUCKETS // SLICE, parallelism(blobs.sparkSession)))
-    table = np.zeros((BUCKETS // SLICE, SLICE * CLASSES))
-    for r in blobs.select("word", "values").repartition(tasks, "word").mapInArrow(_sum_blobs, "word long, values binary").collect():
-        table[r["word"]] = np.frombuffer(r["values"])
-    return table.reshape(BUCKETS, CLASSES)
+def _collect_table(blobs: DataFrame, buckets: int) -> np.ndarray:
+    """The sum over all tasks of a table, which has at most MOST_BUCKETS rows."""
+    tasks = max(1, min(buckets // SLICE, parallelism(blobs.sparkSession)))
+    table = np.zeros((buckets // SLICE, SLICE * CLASSES), np.float32)
+    for r in blobs.select("word", "values").repartition(tasks, "word").mapInArrow(_sum_blobs, "word long, values binary").toLocalIterator():
+        table[r["word"]] = np.frombuffer(r["values"], np.float32)
+    return table.reshape(buckets, CLASSES)
 
 
 def first_update(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parameters and bias after the update from zero, where a context's expectation is its count times the classes' shares."""
-    shares = (pairs.sum(axis=0) / _FEATURES + 0.5) / (pairs.sum() / _FEATURES + 0.5 * pairs.shape[1])
-    seen = pairs.sum(axis=1, keepdims=True)
-    ratio = np.log((pairs + DAMPING * shares) / ((seen + DAMPING) * shares))
-    return (FIRST_STEP * ratio).astype(np.float32), np.log(shares).astype(np.float32)
+    shares = (pairs.sum(axis=0, dtype=np.float64) / _FEATURES + 0.5) / (pairs.sum(dtype=np.float64) / _FEATURES + 0.5 * pairs.shape[1])
+    shares = shares.astype(np.float32)
+    theta = np.empty_like(pairs, np.float32)
+    for k in range(0, len(pairs), 1 << 14):
+        part = pairs[k : k + (1 << 14)].astype(np.float32)
+        seen = part.sum(axis=1, keepdims=True)
+        theta[k : k + len(part)] = FIRST_STEP * np.log((part + DAMPING * shares) / ((seen + DAMPING) * shares))
+    return theta, np.log(shares)
 
 
-def next_update(theta: np.ndarray, gradient: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def next_update(theta: np.ndarray, gradient: np.ndarray, pairs: np.ndarray, step: float) -> np.ndarray:
     """A gradient step, scaled by each parameter's own curvature."""
-    seen = pairs.sum(axis=1, keepdims=True)
-    share = (pairs + 0.5) / (seen + 0.5 * pairs.shape[1])
-    return theta + (STEP * np.clip(gradient / (seen * share * (1 - share) + DAMPING), -1, 1)).astype(np.float32)
+    out = np.empty_like(theta)
+    for k in range(0, len(pairs), 1 << 14):
+        at = slice(k, k + (1 << 14))
+        seen = pairs[at].sum(axis=1, keepdims=True)
+        share = (pairs[at] + 0.5) / (seen + 0.5 * pairs.shape[1])
+        out[at] = theta[at] + step * np.clip(gradient[at] / (seen * share * (1 - share) + DAMPING), -1, 1)
+    return out
+
+
+def train(training: DataFrame, work: Work, pairs: np.ndarray, updates: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Parameters, bias, and the log likelihood of the classes of all training tokens before each further update.
+
+    Each update sums the gradients of at most 4 tasks for each reducer, however many there are to read; a step that
+    would lower the likelihood is halved and taken again from where it began.
+    """
+    spark = training.sparkSession
+    theta, bias = first_update(pairs)
+    few, told, step, last = training.coalesce(4 * parallelism(spark)), [], STEP, None
+    for k in range(updates):
+        model = spark.sparkContext.broadcast((theta, bias))
+        found = work.table(few.mapInArrow(_gradient(model), _GATHERED_SQL), f"gradient-{k}")
+        likelihood = sum(np.frombuffer(r["values"])[0] for r in found.filter("kind = 3").select("values").collect())
+        if last is not None and likelihood < told[-1]:
+            step /= 2
+            theta = next_update(*last, pairs, step / k**FALL)
+        else:
+            told.append(likelihood)
+            last = theta, _collect_table(found.filter("kind = 1"), len(pairs))
+            theta = next_update(*last, pairs, step / (k + 1) ** FALL)
+        model.destroy()
+        work.drop(f"gradient-{k}")
+    return theta, bias, told
 
 
 _SCORED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("counts", pa.float64()), ("ends", pa.float64()), ("classes", pa.float64()), ("word", pa.int64()), ("n", pa.int64())])
@@ -190,7 +260,7 @@ def _score(model, log_sizes: np.ndarray, end_count: int):
         uid = TaskContext.get().partitionId() << 40
         for batch in blocks(batches, size=TEXT_BYTES):
             n = batch.num_rows
-            c = Contexts(batch.column("text"))
+            c = Contexts(batch.column("text"), len(theta))
             p = c.log_own(theta, bias) / log10 - log_sizes[c.classes]
             key, back = np.unique(c.word[c.is_word], return_inverse=True)
             at = np.minimum(np.searchsorted(words, key), max(0, len(words) - 1))
@@ -225,7 +295,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words before it, by the model, times its smoothed share of the class's training tokens; each class reserves
     the share of one more word for all words never seen. The model learns from every document that is not held
     out (one without an id is not): a first update from counts and `updates` more by gradients summed over all
-    tasks. Words are told apart by 64-bit hashes. A null text is empty: its end is its only token. Rows that
+    tasks, with steps that fall; its buckets grow with the training text up to MOST_BUCKETS, its word counts without
+    a bound. Words are told apart by 64-bit hashes. A null text is empty: its end is its only token. Rows that
     repeat an id count and are scored each. Without training documents all counts are 0. No rows give no rows;
     other columns are not read.
     """
@@ -233,7 +304,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = Work(spark, "maxent-lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     training = rows.filter(~F.col("held_out")).select("text")
-    gathered = work.table(training.mapInArrow(_gather, _GATHERED_SQL), "gathered")
+    buckets = bucket_number(training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    gathered = work.table(training.coalesce(4 * parallelism(spark)).mapInArrow(_gather(buckets), _GATHERED_SQL), "gathered")
     counts = work.table(gathered.filter("kind = 0").groupBy("word", "class").agg(F.sum("n").alias("n")), "counts")
     by_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     end_count = gathered.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -245,13 +317,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     log_sizes = np.log10(sizes)
     log_sizes[0] = 0.0  # the end is its whole class
 
-    pairs = _collect_table(gathered.filter("kind = 1"))
-    theta, bias = first_update(pairs)
-    for _ in range(updates):
-        model = spark.sparkContext.broadcast((theta, bias))
-        gradient = _collect_table(training.mapInArrow(_gradient(model), _GATHERED_SQL))
-        theta = next_update(theta, gradient, pairs)
-        model.destroy()
+    pairs = _collect_table(gathered.filter("kind = 1"), buckets)
+    theta, bias, _ = train(training, work, pairs, updates)
+    del pairs
 
     # the least count of which at most `frequent` words have that or more, by counts of counts on a fine scale
     scale = F.floor(F.log2("n") * 16).cast("int")

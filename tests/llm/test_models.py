@@ -100,14 +100,63 @@ def test_class_probabilities_sum_to_one():
     import pyarrow as pa
 
     rng = np.random.default_rng(0)
-    theta = rng.normal(size=(maxent_lm.BUCKETS, maxent_lm.CLASSES)).astype(np.float32)
-    c = maxent_lm.Contexts(pa.array(["a b c", "", "d", None]))
+    theta = rng.normal(size=(maxent_lm.LEAST_BUCKETS, maxent_lm.CLASSES)).astype(np.float32)
+    c = maxent_lm.Contexts(pa.array(["a b c", "", "d", None]), maxent_lm.LEAST_BUCKETS)
     p = c.probabilities(theta, np.zeros(maxent_lm.CLASSES, np.float32))
     assert p.shape == (8, maxent_lm.CLASSES) and np.allclose(p.sum(axis=1), 1, atol=1e-5)
     assert np.allclose(np.log(p[np.arange(8), c.classes]), c.log_own(theta, np.zeros(maxent_lm.CLASSES, np.float32)), atol=1e-4)
     assert c.classes[[3, 4, 6, 7]].tolist() == [0, 0, 0, 0]
 
 
+def test_updates_raise_the_likelihood(spark):
+    from factlattice.llm.common import Work
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    buckets = 1 << 15
+    gathered = docs.mapInArrow(maxent_lm._gather(buckets), maxent_lm._GATHERED_SQL).cache()
+    pairs = maxent_lm._collect_table(gathered.filter("kind = 1"), buckets)
+    tokens = sum(len(WORD.findall(r["text"] or "")) + 1 for r in docs.collect())
+    assert pairs.sum() == 3 * tokens
+    *_, told = maxent_lm.train(docs, Work(spark, "lm-test"), pairs, 5)
+    shares = pairs.sum(axis=0) / pairs.sum()
+    assert len(told) >= 4 and told[0] > tokens * float((shares * np.log(shares)).sum()) and (np.diff(told) > 0).all()
+
+
+def test_gradients_and_scores_against_plain_loops():
+    """The gradient against differences of the likelihood, and a text's classes against a softmax by hand."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = pa.array(["a b a c", "", "b b", None, "the cat the"])
+    buckets = maxent_lm.LEAST_BUCKETS
+    theta, bias = rng.normal(size=(buckets, maxent_lm.CLASSES)).astype(np.float32), rng.normal(size=maxent_lm.CLASSES).astype(np.float32)
+    c = maxent_lm.Contexts(texts, buckets)
+
+    def plain(theta):
+        total = []
+        for own, features in zip(c.classes.tolist(), c.features.T.tolist()):
+            z = [float(bias[k]) + sum(float(theta[f, k]) for f in features) for k in range(maxent_lm.CLASSES)]
+            total.append(z[own] - math.log(sum(math.exp(x) for x in z)))
+        return total
+
+    assert np.allclose(c.log_own(theta, bias), plain(theta), atol=1e-4)
+
+    class Held:
+        value = theta, bias
+
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    out = list(maxent_lm._gradient(Held)([batch]))
+    table = np.zeros((buckets // maxent_lm.SLICE, maxent_lm.SLICE * maxent_lm.CLASSES), np.float32)
+    for at, raw in zip(out[0].column("word").to_pylist(), out[0].column("values").to_pylist()):
+        table[at] = np.frombuffer(raw, np.float32)
+    table = table.reshape(buckets, maxent_lm.CLASSES)
+    assert np.isclose(np.frombuffer(out[1].column("values")[0].as_py())[0], sum(plain(theta)), rtol=1e-5)
+    for f, k in [(int(c.features[0, 1]), 3), (int(c.features[1, 2]), int(c.classes[2])), (int(c.features[2, 0]), 7)]:
+        up = theta.astype(np.float64)
+        up[f, k] += 1e-4
+        assert abs((sum(plain(up)) - sum(plain(theta.astype(np.float64)))) / 1e-4 - table[f, k]) < 1e-2
+
+
 def brute_rake(cells, tokens, targets, budget, rounds=3000):
     """The same by plain loops: goals by bisection of a level, probabilities by alternate scaling and cutting."""
     chance = [budget / sum(tokens)] * len(cells)
