@@ -13,9 +13,10 @@ from factlattice.llm.common import Work, Words, blocks, documents, mix64, parall
 #: Classes of words; class 0 is the end alone.
 CLASSES = 32
 #: Buckets of hashed context features: one for so many bytes of training text, a power of two between these bounds
-#: (the parameters of the most, 64 MB, are what is sent to all executors).
-BYTES_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 2_048, 1 << 15, 1 << 19
-#: Gradient updates over all training documents after the first, which needs only counts.
+#: (the parameters of the most, 32 MB, are what is sent to all executors).
+BYTES_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 4_096, 1 << 15, 1 << 18
+#: Gradient updates after the first, which needs only counts of all training documents; each takes the documents of
+#: another share of hashes, all of them together every document once.
 UPDATES = 3
 #: Shares of a full step (features overlap) for the first update, and for the k-th after it STEP / k ** FALL; the
 #: weight of no evidence.
@@ -89,16 +90,30 @@ def bucket_number(text_bytes: int) -> int:
 
 def _blobs(kind: int, table: np.ndarray) -> pa.RecordBatch:
     """The slices of a table that hold anything."""
-    slices = table.astype(np.float32, copy=False).reshape(-1, SLICE * table.shape[1])
+    slices = table.reshape(-1, SLICE * table.shape[1])
     at = np.flatnonzero(slices.any(axis=1))
     n = len(at)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(at), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array([slices[k].tobytes() for k in at.tolist()], pa.binary())], schema=_GATHERED)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(at), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array([slices[k].astype(np.float32, copy=False).tobytes() for k in at.tolist()], pa.binary())], schema=_GATHERED)
 
 
 _GATHERED = pa.schema([("kind", pa.int32()), ("word", pa.int64()), ("class", pa.int32()), ("n", pa.int64()), ("values", pa.binary())])
 _GATHERED_SQL = "kind int, word long, class int, n long, values binary"
 
 
+def add_counts(table: np.ndarray, keys: list[np.ndarray]) -> None:
+    """Counts keys into a table, a part of it at a time."""
+    keys = np.concatenate(keys)
+    step = 1 << 21
+    if len(table) <= step:
+        table += np.bincount(keys, minlength=len(table)).astype(table.dtype)
+        return
+    keys.sort()
+    cuts = np.searchsorted(keys, np.arange(0, len(table) + step, step))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = table[k * step : (k + 1) * step]
+        part += np.bincount(keys[a:b] - np.int32(k * step), minlength=len(part)).astype(table.dtype)
+
+
 def _gather(buckets: int):
     """Counts of words and of (feature, class) pairs in a task's training texts. kind 0: words, 1: pairs, 2: the ends."""
 
@@ -128,9 +143,9 @@ def _gathered(batches, buckets: int):
         key, at, n = np.unique(c.word[c.is_word], return_index=True, return_counts=True)
         if len(key):
             held.append((key, n, c.classes[c.is_word][at]))
-        flat.append((c.features.astype(np.int64) * CLASSES + c.classes).ravel())
+        flat.append((c.features * np.int32(CLASSES) + c.classes.astype(np.int32)).ravel())
         if sum(map(len, flat)) > 1 << 22:
-            pairs += np.bincount(np.concatenate(flat), minlength=len(pairs)).astype(np.uint32)
+            add_counts(pairs, flat)
             flat = []
         if len(held) > 15:
             held = [merge(held)]
@@ -141,7 +156,7 @@ def _gathered(batches, buckets: int):
         if held:
             yield words_out(*merge(held))
         if flat:
-            pairs += np.bincount(np.concatenate(flat), minlength=len(pairs)).astype(np.uint32)
+            add_counts(pairs, flat)
         yield _blobs(1, pairs.reshape(buckets, CLASSES))
         yield pa.RecordBatch.from_pylist([{"kind": 2, "word": 0, "class": 0, "n": texts, "values": None}], _GATHERED)
 
@@ -194,7 +209,7 @@ def _collect_table(blobs: DataFrame, buckets: int) -> np.ndarray:
     """The sum over all tasks of a table, which has at most MOST_BUCKETS rows."""
     tasks = max(1, min(buckets // SLICE, parallelism(blobs.sparkSession)))
     table = np.zeros((buckets // SLICE, SLICE * CLASSES), np.float32)
-    for r in blobs.select("word", "values").repartition(tasks, "word").mapInArrow(_sum_blobs, "word long, values binary").toLocalIterator():
+    for r in blobs.filter("kind = 1").select("word", "values").repartition(tasks, "word").mapInArrow(_sum_blobs, "word long, values binary").toLocalIterator():
         table[r["word"]] = np.frombuffer(r["values"], np.float32)
     return table.reshape(buckets, CLASSES)
 
@@ -211,40 +226,34 @@ def first_update(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return theta, np.log(shares)
 
 
-def next_update(theta: np.ndarray, gradient: np.ndarray, pairs: np.ndarray, step: float) -> np.ndarray:
-    """A gradient step, scaled by each parameter's own curvature."""
+def next_update(theta: np.ndarray, gradient: np.ndarray, pairs: np.ndarray, part: float, step: float) -> np.ndarray:
+    """A gradient step from a `part` of the documents, scaled by each parameter's own curvature."""
     out = np.empty_like(theta)
     for k in range(0, len(pairs), 1 << 14):
         at = slice(k, k + (1 << 14))
         seen = pairs[at].sum(axis=1, keepdims=True)
         share = (pairs[at] + 0.5) / (seen + 0.5 * pairs.shape[1])
-        out[at] = theta[at] + step * np.clip(gradient[at] / (seen * share * (1 - share) + DAMPING), -1, 1)
+        out[at] = theta[at] + step * np.clip(gradient[at] / (part * seen * share * (1 - share) + DAMPING), -1, 1)
     return out
 
 
-def train(training: DataFrame, work: Work, pairs: np.ndarray, updates: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Parameters, bias, and the log likelihood of the classes of all training tokens before each further update.
+def log_likelihood(found: DataFrame) -> float:
+    """Of the classes of all tokens that a table of gradients was made from."""
+    return float(sum(np.frombuffer(r["values"])[0] for r in found.filter("kind = 3").select("values").collect()))
 
-    Each update sums the gradients of at most 4 tasks for each reducer, however many there are to read; a step that
-    would lower the likelihood is halved and taken again from where it began.
-    """
+
+def train(training: DataFrame, work: Work, pairs: np.ndarray, updates: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and bias. Each update sums the gradients of at most 4 tasks for each reducer, however many there are to read."""
     spark = training.sparkSession
     theta, bias = first_update(pairs)
-    few, told, step, last = training.coalesce(4 * parallelism(spark)), [], STEP, None
     for k in range(updates):
         model = spark.sparkContext.broadcast((theta, bias))
-        found = work.table(few.mapInArrow(_gradient(model), _GATHERED_SQL), f"gradient-{k}")
-        likelihood = sum(np.frombuffer(r["values"])[0] for r in found.filter("kind = 3").select("values").collect())
-        if last is not None and likelihood < told[-1]:
-            step /= 2
-            theta = next_update(*last, pairs, step / k**FALL)
-        else:
-            told.append(likelihood)
-            last = theta, _collect_table(found.filter("kind = 1"), len(pairs))
-            theta = next_update(*last, pairs, step / (k + 1) ** FALL)
+        own = training.filter(F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5)), F.lit(updates)) == k)
+        found = work.table(own.coalesce(4 * parallelism(spark)).mapInArrow(_gradient(model), _GATHERED_SQL), f"gradient-{k}")
+        theta = next_update(theta, _collect_table(found, len(pairs)), pairs, 1 / updates, STEP / (k + 1) ** FALL)
         model.destroy()
         work.drop(f"gradient-{k}")
-    return theta, bias, told
+    return theta, bias
 
 
 _SCORED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("counts", pa.float64()), ("ends", pa.float64()), ("classes", pa.float64()), ("word", pa.int64()), ("n", pa.int64())])
@@ -294,8 +303,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word's probability is that of its class (the end, or a hash of its first two bytes) in the context of the
     words before it, by the model, times its smoothed share of the class's training tokens; each class reserves
     the share of one more word for all words never seen. The model learns from every document that is not held
-    out (one without an id is not): a first update from counts and `updates` more by gradients summed over all
-    tasks, with steps that fall; its buckets grow with the training text up to MOST_BUCKETS, its word counts without
+    out (one without an id is not): a first update from counts and `updates` more by gradients, which take
+    every document once together, with steps that fall; its buckets grow with the training text up to MOST_BUCKETS, its word counts without
     a bound. Words are told apart by 64-bit hashes. A null text is empty: its end is its only token. Rows that
     repeat an id count and are scored each. Without training documents all counts are 0. No rows give no rows;
     other columns are not read.
@@ -317,8 +326,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     log_sizes = np.log10(sizes)
     log_sizes[0] = 0.0  # the end is its whole class
 
-    pairs = _collect_table(gathered.filter("kind = 1"), buckets)
-    theta, bias, _ = train(training, work, pairs, updates)
+    pairs = _collect_table(gathered, buckets)
+    theta, bias = train(training, work, pairs, updates)
     del pairs
 
     # the least count of which at most `frequent` words have that or more, by counts of counts on a fine scale
