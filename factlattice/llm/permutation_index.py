@@ -73,14 +73,16 @@ class Block:
         if len(gain) > n:
             key = -gain.astype(np.int64) * len(gain) + found
             found = np.argpartition(key, n - 1)[:n]
+        near = self.vectors[found] @ query
+        if len(found) > 4 * k + 4:  # products in blocks round otherwise than a row's own sum, in the last digits
+            found = np.sort(found[np.argpartition(-near, 4 * k + 3)[: 4 * k + 4]])
         scores = (self.vectors[found] * query).sum(axis=1)  # row by row: equal vectors get equal scores
-        best = found[np.lexsort((found, -scores))[: k + 1]]
         ids, values = [], []
-        for position in best.tolist():
-            own = self.ids[self.copies[position] : self.copies[position + 1]]
+        for at in np.lexsort((found, -scores))[: k + 1].tolist():
+            own = self.ids[self.copies[found[at]] : self.copies[found[at] + 1]]
             own = own[own != query_id][:k]
             ids.append(own)
-            values.append(np.full(len(own), (self.vectors[position] * query).sum()))
+            values.append(np.full(len(own), scores[at]))
         ids, values = np.concatenate(ids), np.concatenate(values)
         best = np.lexsort((ids, -values))[:k]
         return ids[best], values[best]
