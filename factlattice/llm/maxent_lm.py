@@ -14,7 +14,7 @@ from factlattice.llm.common import Work, Words, blocks, documents, mix64, parall
 CLASSES = 32
 #: Buckets of hashed context features: one for so many bytes of training text, a power of two between these bounds
 #: (the parameters of the most, 32 MB, are what is sent to all executors).
-BYTES_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 4_096, 1 << 15, 1 << 18
+BYTES_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 8_192, 1 << 15, 1 << 18
 #: Gradient updates after the first, which needs only counts of all training documents; each takes the documents of
 #: another share of hashes, all of them together every document once.
 UPDATES = 3
@@ -163,7 +163,10 @@ def _gathered(batches, buckets: int):
 
 def add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """table[at] += rows, where places repeat."""
-    order = np.argsort(at, kind="stable")
+    low = at.astype(np.uint16)  # numbers of 16 bits are sorted by their digits, in linear time
+    order = np.argsort(low, kind="stable")
+    if len(table) > 1 << 16:
+        order = order[np.argsort((at[order] >> 16).astype(np.uint16), kind="stable")]
     at = at[order]
     heads = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     table[at[heads]] += np.add.reduceat(rows[order], heads, axis=0)
@@ -242,17 +245,21 @@ def log_likelihood(found: DataFrame) -> float:
     return float(sum(np.frombuffer(r["values"])[0] for r in found.filter("kind = 3").select("values").collect()))
 
 
-def train(training: DataFrame, work: Work, pairs: np.ndarray, updates: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters and bias. Each update sums the gradients of at most 4 tasks for each reducer, however many there are to read."""
+def few_tasks(df: DataFrame) -> DataFrame:
+    """As many tasks as run at a time, each of which hands a whole table on: their tables don't grow with the input."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def train(training: DataFrame, pairs: np.ndarray, updates: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters and bias, after updates whose gradients are summed over all tasks."""
     spark = training.sparkSession
     theta, bias = first_update(pairs)
     for k in range(updates):
         model = spark.sparkContext.broadcast((theta, bias))
         own = training.filter(F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5)), F.lit(updates)) == k)
-        found = work.table(own.coalesce(4 * parallelism(spark)).mapInArrow(_gradient(model), _GATHERED_SQL), f"gradient-{k}")
-        theta = next_update(theta, _collect_table(found, len(pairs)), pairs, 1 / updates, STEP / (k + 1) ** FALL)
+        gradient = _collect_table(few_tasks(own).mapInArrow(_gradient(model), _GATHERED_SQL), len(pairs))
+        theta = next_update(theta, gradient, pairs, 1 / updates, STEP / (k + 1) ** FALL)
         model.destroy()
-        work.drop(f"gradient-{k}")
     return theta, bias
 
 
@@ -314,7 +321,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     training = rows.filter(~F.col("held_out")).select("text")
     buckets = bucket_number(training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    gathered = work.table(training.coalesce(4 * parallelism(spark)).mapInArrow(_gather(buckets), _GATHERED_SQL), "gathered")
+    gathered = work.table(few_tasks(training).mapInArrow(_gather(buckets), _GATHERED_SQL), "gathered")
     counts = work.table(gathered.filter("kind = 0").groupBy("word", "class").agg(F.sum("n").alias("n")), "counts")
     by_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     end_count = gathered.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -327,7 +334,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     log_sizes[0] = 0.0  # the end is its whole class
 
     pairs = _collect_table(gathered, buckets)
-    theta, bias = train(training, work, pairs, updates)
+    theta, bias = train(training, pairs, updates)
     del pairs
 
     # the least count of which at most `frequent` words have that or more, by counts of counts on a fine scale

@@ -110,8 +110,6 @@ def test_class_probabilities_sum_to_one():
 
 def test_updates_raise_the_likelihood(spark):
     """One by all documents, or two or three by a share of them each."""
-    from factlattice.llm.common import Work
-
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
     buckets = 1 << 15
     gathered = docs.mapInArrow(maxent_lm._gather(buckets), maxent_lm._GATHERED_SQL).cache()
@@ -120,7 +118,7 @@ def test_updates_raise_the_likelihood(spark):
     assert pairs.sum() == 3 * tokens
     told = []
     for updates in range(4):
-        model = spark.sparkContext.broadcast(maxent_lm.train(docs, Work(spark, "lm-test"), pairs, updates))
+        model = spark.sparkContext.broadcast(maxent_lm.train(docs, pairs, updates))
         told.append(maxent_lm.log_likelihood(docs.mapInArrow(maxent_lm._gradient(model), maxent_lm._GATHERED_SQL)))
     shares = pairs.sum(axis=0) / pairs.sum()
     assert told[0] > tokens * float((shares * np.log(shares)).sum()) and min(told[1:]) > told[0]
