@@ -23,7 +23,7 @@ PIECE = 1024
 #: Pieces that are partitioned together.
 GROUP = 512
 #: Bytes of words and their ids that a worker keeps, about; beyond them the half that is older goes.
-CACHED_BYTES = 48 << 20
+CACHED_BYTES = 160 << 20
 #: What an entry of the cache takes beside its word and ids.
 ENTRY_BYTES = 200
 
@@ -46,26 +46,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Recent:
-    """A dictionary of bounded size: as `new` fills up it becomes `old`, from which what is asked again moves on."""
+class Recent(dict):
+    """A dictionary of bounded size that makes what it lacks; as it fills up it becomes `old`, from which what is asked again returns."""
 
-    def __init__(self, size: int):
-        self.size, self.held, self.new, self.old = size // 2, 0, {}, {}
+    def __init__(self, make, size: int):
+        self.make, self.size, self.held, self.old = make, size // 2, 0, {}
 
-    def fill(self, keys, make) -> None:
-        """Puts keys that `new` lacks into it."""
-        old, new, more = self.old, self.new, 0
-        for key in keys:
-            got = old.get(key)
-            if got is None:
-                got = make(key)
-            new[key] = got
-            more += len(key) + len(got) + ENTRY_BYTES
-        self.held += more
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        self.held += len(key) + len(got) + ENTRY_BYTES
+        return got
 
     def trim(self) -> None:
         if self.held > self.size:
-            self.old, self.new, self.held = self.new, {}, 0
+            self.old, self.held = dict(self), 0
+            self.clear()
 
 
 class WordTokenizer:
@@ -87,7 +85,7 @@ class WordTokenizer:
         self.model = self.whole.model
         self.wordwise = all(told.get(k) == v for k, v in WORDWISE.items()) and told["model"]["type"] == "BPE" and not told["model"].get("dropout")
         self.wordwise &= all(t["content"].startswith("<|") for t in told.get("added_tokens", []))
-        self.words, self.parts = Recent(cached_bytes // 2), Recent(cached_bytes // 2)
+        self.words = Recent(self._word, cached_bytes)
         self.plain = regex.compile(r"[\t\n\v\f\r -~\xA1-\xFF]*+").fullmatch
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -99,17 +97,13 @@ class WordTokenizer:
         ids = [t.id for t in self.model.tokenize(shown)]
         return pack(f"<{len(ids)}I", *ids)
 
-    def _part(self, part: str) -> bytes:
-        if part not in self.parts.new:
-            self.parts.fill((part,), self._ids)
-        return self.parts.new[part]
-
     def _word(self, word: str) -> bytes:
         if word.isalpha():
             return self._ids(word)
         if word[:-1].isalpha() and not word[-1].isalnum():
-            return self._part(word[:-1]) + self._part(word[-1])
-        return b"".join(map(self._part, self.pieces(word)))
+            return self.words[word[:-1]] + self.words[word[-1]]
+        pieces = self.pieces(word)
+        return b"".join(map(self.words.__getitem__, pieces)) if len(pieces) != 1 else self._ids(pieces[0])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
@@ -117,13 +111,7 @@ class WordTokenizer:
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return pack(f"<{len(ids)}I", *ids)
         self.words.trim()
-        self.parts.trim()
-        held, words = self.words.new, text.lower().split()
-        try:
-            return b"".join(map(held.__getitem__, words))
-        except KeyError:
-            self.words.fill(set(words).difference(held), self._word)
-        return b"".join(map(held.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
