@@ -24,10 +24,10 @@ FIRST_STEP, STEP, FALL, DAMPING = 0.3, 0.5, 0.5, 4.0
 #: Words whose counts are sent to all executors at most (16 bytes each); the others are looked up by a join.
 FREQUENT = 1 << 20
 #: Distinct words that a task holds before it hands its counts on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Rows of the parameters that one row of a table holds.
 SLICE = 512
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 18
 
 _FEATURES = 3
 
@@ -144,7 +144,7 @@ def _gathered(batches, buckets: int):
         if len(key):
             held.append((key, n, c.classes[c.is_word][at]))
         flat.append((c.features * np.int32(CLASSES) + c.classes.astype(np.int32)).ravel())
-        if sum(map(len, flat)) > 1 << 22:
+        if sum(map(len, flat)) > 1 << 21:
             add_counts(pairs, flat)
             flat = []
         if len(held) > 15:
