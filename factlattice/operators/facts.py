@@ -27,6 +27,8 @@ DOCUMENT = "__document__"
 LANES = ("null", "boolean", "integer", "number", "string", "list", "object")
 
 ENTITY_SCHEMA = "document_id string, collection string, entity_id string, kind string, status string, ordinal int, payload string"
+#: Lists and objects inside one another that a document may have; a deeper one is quarantined.
+MAX_NESTING = 200
 FIELD_SCHEMA = "document_id string, collection string, entity_id string, pointer string, depth int, value_type string, value_json string, value_string string, value_number double"
 
 
@@ -64,6 +66,25 @@ def lane(value) -> str:
     raise TypeError(type(value))
 
 
+def as_double(value: int | float) -> float:
+    """The nearest double; integers beyond all doubles are infinite."""
+    try:
+        return float(value)
+    except OverflowError:
+        return float("inf") if value > 0 else float("-inf")
+
+
+def nesting(value) -> int:
+    """How deep lists and objects lie inside one another."""
+    deepest, stack = 0, [(value, 0)]
+    while stack:
+        now, level = stack.pop()
+        if isinstance(now, (dict, list)):
+            deepest = max(deepest, level + 1)
+            stack += [(v, level + 1) for v in (now.values() if isinstance(now, dict) else now)]
+    return deepest
+
+
 def walk(value, pointer: str = "", depth: int = 0):
     """(pointer, depth, value) of a value and all inside it, keys in code-point order."""
     stack = [(pointer, depth, value)]
@@ -116,6 +137,8 @@ def _check_json(batches):
                 document = strict_json(text)
                 if not isinstance(document, dict) or not isinstance(document.get("documentId"), str):
                     raise ValueError("no documentId")
+                if nesting(document) > MAX_NESTING:
+                    raise ValueError(f"nested more than {MAX_NESTING} deep")
                 ids.append(document["documentId"])
                 errors.append(None)
             except (ValueError, TypeError, RecursionError) as error:
@@ -137,7 +160,7 @@ def _flatten(batches):
                 continue
             for pointer, depth, value in walk(strict_json(payload)):
                 kind = lane(value)
-                number = float(value) if kind in ("integer", "number") else None
+                number = as_double(value) if kind in ("integer", "number") else None
                 for column, item in zip(rows, (document_id, collection, entity_id, pointer, depth, kind, canonical_json(value), value if kind == "string" else None, number)):
                     column.append(item)
                 if len(rows[0]) >= 50_000:

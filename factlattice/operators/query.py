@@ -89,25 +89,36 @@ def decode_cursor(cursor: str) -> dict:
     return found
 
 
-def list_entities_page(entities: DataFrame, contract: Contract, digest: str, collection: str, kind: str | None = None, status: str | None = None, profile: str | None = None, limit: int = DEFAULT_PAGE, cursor: str | None = None):
-    """A page of entities after the cursor's id, and the next page's cursor (None at the end).
+def list_entities_page(entities: DataFrame, contract: Contract, digest: str, collection: str, kind: str | None = None, status: str | None = None, profile: str | None = None, limit: int = DEFAULT_PAGE, cursor: str | None = None, profiles: DataFrame | None = None):
+    """A page of entities after the cursor's entity, in the order of entity and document id, and the next page's cursor (None at the end).
 
-    A cursor is bound to the contract's version, the content digest and all filters; any other use is an error.
+    With a profile only documents (document_id, profile) of `profiles` that have it are listed. A cursor is bound to the contract's version, the content digest and all filters; any other use is an error.
     """
     if not 1 <= limit <= MAX_PAGE:
         raise QueryError(f"a page has 1 to {MAX_PAGE} entities")
     binding = {"version": contract.version, "digest": digest, "collection": collection, "kind": kind, "status": status, "profile": profile}
     rows = _equalities(entities, collection=collection, kind=kind, status=status)
+    if profile is not None:
+        if profiles is None:
+            raise QueryError("a profile needs the profiles of the documents")
+        rows = in_profile(rows, profiles, contract, profile)
     if cursor is not None:
         bound = decode_cursor(cursor)
-        last = bound.pop("lastId", None)
-        if bound != binding or not isinstance(last, str):
+        last, document = bound.pop("lastId", None), bound.pop("lastDocument", None)
+        if bound != binding or not isinstance(last, str) or not isinstance(document, str):
             raise QueryError("the cursor belongs to another query")
-        rows = rows.filter(F.col("entity_id") > last)
-    page = rows.orderBy("entity_id").limit(limit + 1).collect()
+        rows = rows.filter((F.col("entity_id") > last) | ((F.col("entity_id") == last) & (F.col("document_id") > document)))
+    page = rows.orderBy("entity_id", "document_id").limit(limit + 1).collect()
     more = len(page) > limit
     page = page[:limit]
-    return page, encode_cursor({**binding, "lastId": page[-1]["entity_id"]}) if more else None
+    return page, encode_cursor({**binding, "lastId": page[-1]["entity_id"], "lastDocument": page[-1]["document_id"]}) if more else None
+
+
+def integer_order(text: Column) -> Column:
+    """A value that orders JSON integers of any length as numbers: sign, number of digits, digits (mirrored below zero)."""
+    negative = text.startswith("-")
+    digits = F.ltrim(text, F.lit("-"))
+    return F.struct(F.when(negative, -F.length(digits)).otherwise(F.length(digits)).alias("size"), F.when(negative, F.translate(digits, "0123456789", "9876543210")).otherwise(digits).alias("digits"))
 
 
 def compare(operator: str, value) -> Column:
@@ -121,7 +132,10 @@ def compare(operator: str, value) -> Column:
     if operator in ("lt", "lte", "gt", "gte"):
         if kind not in ("integer", "number", "string"):
             raise QueryError(f"{kind} values have no order")
-        column, against = (F.col("value_string"), F.lit(value)) if kind == "string" else (F.col("value_number"), F.lit(float(value)))
+        if kind == "integer":
+            column, against = integer_order(F.col("value_json")), integer_order(F.lit(text))
+        else:
+            column, against = (F.col("value_string"), F.lit(value)) if kind == "string" else (F.col("value_number"), F.lit(float(value)))
         result = {"lt": column < against, "lte": column <= against, "gt": column > against, "gte": column >= against}[operator]
         return F.when(same, result).otherwise(F.raise_error(F.concat(F.lit(f"cannot order {kind} and "), F.col("value_type"))).cast("boolean"))
     if operator == "prefix":

@@ -23,14 +23,14 @@ NODE_KINDS = (
     "column", "cell", "shape", "textBox", "connector", "image", "chart", "glyph", "path", "field", "annotation", "resource",
 )
 VISUAL_KINDS = ("shape", "textBox", "connector", "image", "chart", "glyph", "path")
-#: Keys that a node of a kind must not have.
+#: Keys that a node of a kind must not have. Fixed values of the document format.
 NODE_FORBIDDEN = {
     "document": ("address", "geometryId", "formulaId", "fieldId", "directStyleId", "resolvedStyleId"),
     "paragraph": ("address", "geometryId", "formulaId"), "heading": ("address", "geometryId", "formulaId"),
     "run": ("address", "geometryId", "formulaId", "fieldId"), "row": ("address", "geometryId", "formulaId"),
     "column": ("address", "geometryId", "formulaId", "fieldId"), "table": ("address", "geometryId", "formulaId"),
 }
-#: (collection, pointer template, collections that the value may name, node kinds it may name).
+#: (collection, pointer template, collections that the value may name, node kinds it may name). Fixed values of the document format.
 REFERENCE_RULES = (
     ("nodes", "/parentId", ("nodes",), ()), ("nodes", "/childIds/*", ("nodes",), ()), ("nodes", "/partId", ("parts",), ()),
     ("nodes", "/geometryId", ("geometries",), ()), ("nodes", "/formulaId", ("formulas",), ()), ("nodes", "/fieldId", ("fields",), ()),
@@ -54,22 +54,41 @@ REFERENCE_RULES = (
     (DOCUMENT, "/conversion/diagnostics/*", ("diagnostics",), ()), (DOCUMENT, "/conversion/warnings/*", ("diagnostics",), ()),
     (DOCUMENT, "/conversion/features/*/diagnosticIds/*", ("diagnostics",), ()), (DOCUMENT, "/conversion/featureInventory/*/diagnosticIds/*", ("diagnostics",), ()),
 )
-#: kind -> (all keys, keys that must be there) of colours, geometry primitives and anchors.
+#: Keys of colours, geometry primitives, path segments and anchors by their kind: those that must be there, and those
+#: that may be there beside them and `kind`. Fixed values of the document format.
 VARIANTS = {
     "color": {
-        "rgb": ("kind r g b a", "r g b"), "gray": ("kind gray a", "gray"), "cmyk": ("kind c m y k a", "c m y k"), "theme": ("kind themeId slot a", "slot"),
+        "rgb": {"required": ["r", "g", "b"], "optional": ["a"]},
+        "gray": {"required": ["gray"], "optional": ["a"]},
+        "cmyk": {"required": ["c", "m", "y", "k"], "optional": ["a"]},
+        "theme": {"required": ["slot"], "optional": ["themeId", "a"]},
     },
     "primitive": {
-        "point": ("kind x y", "x y"), "line": ("kind x y points", "x y points"), "polyline": ("kind points", "points"), "polygon": ("kind points", "points"),
-        "rectangle": ("kind x y width height", "x y width height"), "rotatedRectangle": ("kind x y width height rotation", "x y width height rotation"),
-        "bezier": ("kind segments arrowhead", "segments"), "clip": ("kind segments", "segments"), "arrowhead": ("kind arrowhead", "arrowhead"),
+        "point": {"required": ["x", "y"], "optional": []},
+        "line": {"required": ["x", "y", "points"], "optional": []},
+        "polyline": {"required": ["points"], "optional": []},
+        "polygon": {"required": ["points"], "optional": []},
+        "rectangle": {"required": ["x", "y", "width", "height"], "optional": []},
+        "rotatedRectangle": {"required": ["x", "y", "width", "height", "rotation"], "optional": []},
+        "bezier": {"required": ["segments"], "optional": ["arrowhead"]},
+        "clip": {"required": ["segments"], "optional": []},
+        "arrowhead": {"required": ["arrowhead"], "optional": []},
+    },
+    "segment": {
+        "move": {"required": ["to"], "optional": []},
+        "line": {"required": ["to"], "optional": []},
+        "bezier": {"required": ["points"], "optional": []},
+        "close": {"required": [], "optional": []},
     },
-    "segment": {"move": ("kind to", "to"), "line": ("kind to", "to"), "bezier": ("kind points", "points"), "close": ("kind", "")},
     "anchor": {
-        "inline": ("kind nodeId", "nodeId"), "page": ("kind surfaceId", "surfaceId"), "paragraph": ("kind nodeId", "nodeId"),
-        "cell-range": ("kind gridId from to moveWithCells sizeWithCells", "gridId from to"), "floating": ("kind surfaceId offset", "surfaceId"), "endpoint-pair": ("kind nodeId", "nodeId"),
+        "inline": {"required": ["nodeId"], "optional": []},
+        "page": {"required": ["surfaceId"], "optional": []},
+        "paragraph": {"required": ["nodeId"], "optional": []},
+        "cell-range": {"required": ["gridId", "from", "to"], "optional": ["moveWithCells", "sizeWithCells"]},
+        "floating": {"required": ["surfaceId"], "optional": ["offset"]},
+        "endpoint-pair": {"required": ["nodeId"], "optional": []},
     },
-}
+}
 
 RULES = (
     "ID-DUPLICATE", "STATUS-INVALID", "FORBIDDEN-KEY", "FRACTIONAL-NUMBER", "DISCRIMINATOR-REQUIRED", "DISCRIMINATOR-FORBIDDEN", "ROOT-MISSING", "ROOT-KIND",
@@ -90,13 +109,10 @@ def duplicate_ids(entities: DataFrame) -> DataFrame:
 
 def reference_values(fields: DataFrame) -> DataFrame:
     """Values that must name an entity, with the collections and kinds they may name (empty: any)."""
-    out = None
-    for collection, pointer, targets, kinds in REFERENCE_RULES:
-        rows = fields.filter((F.col("collection") == collection) & (F.col("value_type") == "string") & template_condition(F.col("pointer"), pointer))
-        strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-        rows = rows.select("document_id", "entity_id", "pointer", F.col("value_string").alias("target_id"), strings(targets).alias("targets"), strings(kinds).alias("kinds"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rules = fields.sparkSession.createDataFrame([(c, p, list(t), list(k)) for c, p, t, k in REFERENCE_RULES], "collection string, template string, targets array<string>, kinds array<string>")
+    strings = fields.filter(F.col("value_type") == "string").withColumn("template", F.regexp_replace("pointer", "/[0-9]+(?=/|$)", "/*"))
+    found = strings.join(F.broadcast(rules), ["collection", "template"])  # a table of some sixty rules
+    return found.select("document_id", "entity_id", "pointer", F.col("value_string").alias("target_id"), "targets", "kinds")
 
 
 def broken_references(fields: DataFrame, entities: DataFrame) -> DataFrame:
@@ -127,7 +143,7 @@ def variants(fields: DataFrame) -> DataFrame:
         F.when(F.col("at").rlike("/segments/[0-9]+$"), "segment").when(F.col("at").rlike("/primitives/[0-9]+$"), "primitive").when(F.col("at").endswith("/anchor"), "anchor")
         .when(F.col("kind").isin(*VARIANTS["color"]), "color")
     )
-    rows = [(p, k, a.split(), r.split()) for p, own in VARIANTS.items() for k, (a, r) in own.items()]
+    rows = [(place, kind, ["kind", *keys["required"], *keys["optional"]], keys["required"]) for place, own in VARIANTS.items() for kind, keys in own.items()]
     spec = fields.sparkSession.createDataFrame(rows, "place string, kind string, allowed array<string>, required array<string>")
     kinds = kinds.withColumn("place", place).filter("at != ''").join(F.broadcast(spec), ["place", "kind"])
     keys = fields.filter("depth > 0").select("document_id", "collection", "entity_id", F.regexp_replace("pointer", "/[^/]*$", "").alias("at"), F.element_at(F.split("pointer", "/"), -1).alias("key"))

@@ -1,15 +1,13 @@
-"""Driver queries over the star schema, each with the same result as its SQL; those named _whole run on whole tables and have none."""
+"""Driver queries over the star schema, over whole tables, each with the same result as its SQL where it has one."""
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factlattice.functions import values
-from factlattice.operators import canonical, facts, markdown_lines, query, status, styles, trees
+from factlattice.operators import canonical, facts, markdown_lines, query, status, styles, trees, validation
 from factlattice.plans.contract import Contract
 
 QUERIES: dict = {}
@@ -26,10 +24,11 @@ CONTRACT = Contract.from_types(
 )
 
 
-def _query(name: str, sql: str):
+def _query(name: str, sql: str | None = None):
     def keep(function):
         QUERIES[name] = function
-        SQL[name] = sql
+        if sql is not None:
+            SQL[name] = sql
         return function
 
     return keep
@@ -65,9 +64,9 @@ def order_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return order_entities(spark, sf_dir), facts.fields_of_columns(o, "orders", "id", {"/status": ("string", F.col("o_orderstatus")), "/priority": ("string", F.col("o_orderpriority")), "/customer": ("string", F.col("o_custkey"))})
 
 
-def basket_fields(spark: SparkSession, sf_dir: str, where: str = "l_linenumber <= 4") -> tuple[DataFrame, DataFrame]:
+def basket_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders with their lines as nested JSON."""
-    li = _read(spark, sf_dir, "lineitem").filter(where)
+    li = _read(spark, sf_dir, "lineitem")
     line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_returnflag").alias("flag"))
     b = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     b = b.select("l_orderkey", F.to_json(F.struct("lines", F.array_sort(F.array_distinct(F.col("lines.flag"))).alias("flags"))).alias("payload"))
@@ -124,13 +123,11 @@ def _(spark, sf_dir):
 
 
 @_query("coverage_anti", "SELECT 'baskets' AS collection, '/lines/*/n' AS template UNION ALL SELECT 'baskets', '/lines/*'")
-def coverage_anti(spark, sf_dir, where="l_linenumber <= 4"):
+def coverage_anti(spark, sf_dir):
     from factlattice.operators.index import unregistered
 
-    return unregistered(basket_fields(spark, sf_dir, where)[1], CONTRACT)
-
+    return unregistered(basket_fields(spark, sf_dir)[1], CONTRACT)
 
-QUERIES["coverage_anti_whole"] = partial(coverage_anti, where="true")
 
 
 # ---- typed predicates ----
@@ -162,14 +159,12 @@ def _(spark, sf_dir):
     return _hits(query.query_fields(f, e, CONTRACT, "/name", "e", "contains", collection="parts"))
 
 
-@_query("query_fields_contains_list", "SELECT l_orderkey::VARCHAR AS entity_id, '/flags' AS pointer, 'value' AS presence, '[' || string_agg(DISTINCT '\"' || l_returnflag || '\"', ',' ORDER BY '\"' || l_returnflag || '\"') || ']' AS value_json FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R')")
-def query_fields_contains_list(spark, sf_dir, where="l_linenumber <= 4"):
-    e, f = basket_fields(spark, sf_dir, where)
+@_query("query_fields_contains_list", "SELECT l_orderkey::VARCHAR AS entity_id, '/flags' AS pointer, 'value' AS presence, '[' || string_agg(DISTINCT '\"' || l_returnflag || '\"', ',' ORDER BY '\"' || l_returnflag || '\"') || ']' AS value_json FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R')")
+def query_fields_contains_list(spark, sf_dir):
+    e, f = basket_fields(spark, sf_dir)
     return _hits(query.query_fields(f, e, CONTRACT, "/flags", "R", "contains", collection="baskets"))
 
 
-QUERIES["query_fields_contains_list_whole"] = partial(query_fields_contains_list, where="true")
-
 
 @_query("query_fields_exists", "SELECT p_partkey::VARCHAR AS entity_id, '/comment' AS pointer, CASE WHEN p_size % 2 = 1 THEN 'value' ELSE 'null' END AS presence, CASE WHEN p_size % 2 = 1 THEN '\"size ' || p_size || '\"' ELSE 'null' END AS value_json FROM part WHERE p_size <= 40")
 def _(spark, sf_dir):
@@ -190,15 +185,13 @@ def _(spark, sf_dir):
 
 
 @_query("query_fields_template", """
-WITH l AS (SELECT l_orderkey, l_quantity::INTEGER AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::INTEGER, l_returnflag) - 1 AS k FROM lineitem WHERE l_linenumber <= 4)
+WITH l AS (SELECT l_orderkey, l_quantity::INTEGER AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::INTEGER, l_returnflag) - 1 AS k FROM lineitem)
 SELECT l_orderkey::VARCHAR AS entity_id, '/lines/' || k || '/quantity' AS pointer, 'value' AS presence, q::VARCHAR AS value_json FROM l WHERE q >= 45""")
-def query_fields_template(spark, sf_dir, where="l_linenumber <= 4"):
-    e, f = basket_fields(spark, sf_dir, where)
+def query_fields_template(spark, sf_dir):
+    e, f = basket_fields(spark, sf_dir)
     return _hits(query.query_fields(f, e, CONTRACT, "/lines/*/quantity", 45, "gte", collection="baskets"))
 
 
-QUERIES["query_fields_template_whole"] = partial(query_fields_template, where="true")
-
 
 @_query("query_fields_kind_status", "SELECT lpad(o_orderkey::VARCHAR, 10, '0') AS entity_id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW'")
 def _(spark, sf_dir):
@@ -232,7 +225,7 @@ def _(spark, sf_dir):
 def star_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
     line = F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber")
-    edge = lambda df, source, pointer, target, owner: df.select(F.lit("tables").alias("document_id"), source.alias("source_id"), F.lit(pointer).alias("source_pointer"), F.concat_ws("-", F.lit(owner), target).alias("target_id"))
+    edge = lambda df, source, pointer, target, owner: df.select(F.lit("tables").alias("document_id"), source.alias("source_id"), F.lit(pointer).alias("source_pointer"), F.concat_ws("-", F.lit(owner), target).alias("target_id"), F.lit("tables").alias("source_collection"), F.lit(None).cast("int").alias("ordinal"))
     return (
         edge(li, line, "/orderId", F.col("l_orderkey"), "o").unionByName(edge(li, line, "/partId", F.col("l_partkey"), "p"))
         .unionByName(edge(li, line, "/supplierId", F.col("l_suppkey"), "s")).unionByName(edge(o, F.concat_ws("-", F.lit("o"), "o_orderkey"), "/customerId", F.col("o_custkey"), "c"))
@@ -241,8 +234,7 @@ def star_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("find_references", "SELECT 'l-' || l_orderkey || '-' || l_linenumber AS source_id, '/partId' AS source_pointer, 'p-5' AS target_id FROM lineitem WHERE l_partkey = 5")
 def _(spark, sf_dir):
-    edges = star_references(spark, sf_dir)
-    return edges.filter((F.col("target_id") == "p-5") & (F.col("source_pointer") == "/partId")).select("source_id", "source_pointer", "target_id")
+    return query.find_references(star_references(spark, sf_dir), target_id="p-5", pointer="/partId").select("source_id", "source_pointer", "target_id")
 
 
 @_query("reference_counts", "SELECT '/orderId' AS source_pointer, count(*) AS n, count(DISTINCT l_orderkey) AS targets FROM lineitem UNION ALL SELECT '/partId', count(*), count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT '/supplierId', count(*), count(DISTINCT l_suppkey) FROM lineitem UNION ALL SELECT '/customerId', count(*), count(DISTINCT o_custkey) FROM orders")
@@ -258,7 +250,8 @@ def _(spark, sf_dir):
 
 @_query("duplicate_ids", "SELECT c_nationkey::VARCHAR AS entity_id, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
 def _(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("entity_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    named = _read(spark, sf_dir, "customer").select(F.lit("tables").alias("document_id"), F.lit("nodes").alias("collection"), F.col("c_nationkey").cast("string").alias("entity_id"))
+    return validation.duplicate_ids(named).select("entity_id", F.col("detail").cast("long").alias("n"))
 
 
 @_query("reciprocity", "SELECT o_orderkey AS child, o_custkey AS parent FROM orders WHERE o_totalprice <= 1000 OR o_orderkey % 7 = 0")
@@ -305,36 +298,35 @@ def _(spark, sf_dir):
     return trees.descendants(region_edges(spark, sf_dir), roots).groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@_query("ancestors_of_lineitem", _TREE + "a AS (SELECT DISTINCT 'l-' || l_orderkey || '-' || l_linenumber AS start_id, 'o-' || l_orderkey AS node_id, 1 AS distance FROM lineitem WHERE l_orderkey <= 20 UNION ALL SELECT a.start_id, e.parent, a.distance + 1 FROM a JOIN e ON e.child = a.node_id) SELECT start_id, node_id, distance FROM a")
-def ancestors_of_lineitem(spark, sf_dir, where="l_orderkey <= 20"):
-    start = _read(spark, sf_dir, "lineitem").filter(where).select(F.lit("tables").alias("document_id"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("node_id")).distinct()
+@_query("ancestors_of_lineitem", _TREE + "a AS (SELECT DISTINCT 'l-' || l_orderkey || '-' || l_linenumber AS start_id, 'o-' || l_orderkey AS node_id, 1 AS distance FROM lineitem UNION ALL SELECT a.start_id, e.parent, a.distance + 1 FROM a JOIN e ON e.child = a.node_id) SELECT start_id, node_id, distance FROM a")
+def ancestors_of_lineitem(spark, sf_dir):
+    start = _read(spark, sf_dir, "lineitem").select(F.lit("tables").alias("document_id"), F.concat_ws("-", F.lit("l"), "l_orderkey", "l_linenumber").alias("node_id")).distinct()
     return trees.ancestors(region_edges(spark, sf_dir).distinct(), start).select("start_id", "node_id", "distance")
 
 
-QUERIES["ancestors_of_lineitem_whole"] = partial(ancestors_of_lineitem, where="true")
 
-
-@_query("reachability", "SELECT 'n-' || n_nationkey AS node_id, 'unreachable' AS code FROM nation WHERE n_regionkey > 1 UNION ALL SELECT 'c-' || c_custkey, 'unreachable' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey > 1")
-def reachability(spark, sf_dir, where="child_id LIKE 'n-%' OR child_id LIKE 'c-%'"):
-    e = region_edges(spark, sf_dir).filter(where)
+@_query("reachability", """
+WITH r AS (SELECT 'n-' || n_nationkey AS node_id, n_regionkey AS region FROM nation
+  UNION ALL SELECT 'c-' || c_custkey, n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'o-' || o_orderkey, n_regionkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'l-' || l_orderkey || '-' || l_linenumber, n_regionkey FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)
+SELECT node_id, 'unreachable' AS code FROM r GROUP BY node_id HAVING min(coalesce(region, 9)) > 1""")
+def reachability(spark, sf_dir):
+    e = region_edges(spark, sf_dir)
     nodes = e.select("document_id", F.col("child_id").alias("node_id")).distinct()
     roots = spark.createDataFrame([("tables", "r-0"), ("tables", "r-1")], "document_id string, root_id string")
     return trees.reachability(e, nodes, roots).select("node_id", "code")
 
 
-QUERIES["reachability_whole"] = partial(reachability, where="true")
-
 
-@_query("subtree_text", "SELECT 'conv-' || conv_id AS conversation, turn, text FROM conversations WHERE conv_id < 20")
-def subtree_text(spark, sf_dir, where="conv_id < 20"):
-    c = _read(spark, sf_dir, "conversations").filter(where).withColumn("conversation", F.concat_ws("-", F.lit("conv"), "conv_id")).withColumn("node", F.concat_ws("-", "conversation", "turn"))
+@_query("subtree_text", "SELECT 'conv-' || conv_id AS conversation, turn, text FROM conversations")
+def subtree_text(spark, sf_dir):
+    c = _read(spark, sf_dir, "conversations").withColumn("conversation", F.concat_ws("-", F.lit("conv"), "conv_id")).withColumn("node", F.concat_ws("-", "conversation", "turn"))
     edges = c.select(F.lit("tables").alias("document_id"), F.col("conversation").alias("parent_id"), F.col("node").alias("child_id"), F.col("turn").alias("ordinal"))
     below = trees.descendants(edges, edges.select("document_id", F.col("parent_id").alias("root_id")).distinct())
     return c.join(below.select(F.col("node_id").alias("node")), "node", "left_semi").select("conversation", "turn", "text")
 
 
-QUERIES["subtree_text_whole"] = partial(subtree_text, where="true")
-
 
 # ---- status, canonical form, digests ----
 
@@ -382,12 +374,12 @@ def _(spark, sf_dir):
     return canonical.records_digest(_read(spark, sf_dir, "nation").withColumn("h", canonical.value_digest(body)), "h")
 
 
-@_query("index_parity", "SELECT 'left' AS side, 0 AS n UNION ALL SELECT 'right', 0")
+@_query("index_parity", "SELECT 'left' AS side, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_totalprice <= 1000 UNION ALL SELECT 'right', count(*) FROM orders WHERE o_orderstatus = 'P'")
 def _(spark, sf_dir):
     from factlattice.operators.index import parity
 
-    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return parity(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'F'").repartition(3, "o_orderkey"), ["o_orderkey", "o_orderstatus"])
+    o = _read(spark, sf_dir, "orders")
+    return parity(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'P' OR o_orderstatus = 'F' AND o_totalprice > 1000").repartition(3, "o_orderkey"), ["o_orderkey", "o_orderstatus"])
 
 
 @_query("observation_pairs", "SELECT u.conv_id, u.turn, u.text = a.text AS equal FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
@@ -406,18 +398,12 @@ def _(spark, sf_dir):
     return markdown_lines.lines(_read(spark, sf_dir, "documents")).select("doc_id", F.col("line").cast("long").alias("line"), "text")
 
 
-@_query("line_spans", """
-WITH l AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM documents WHERE NOT contains(text, chr(13)))
-SELECT doc_id, line, (sum(length(t) + 1) OVER w - length(t) - 1)::BIGINT AS char_start, (sum(length(t) + 1) OVER w - 1)::BIGINT AS char_end,
-  (sum(strlen(t) + 1) OVER w - strlen(t) - 1)::BIGINT AS byte_start, (sum(strlen(t) + 1) OVER w - 1)::BIGINT AS byte_end
-FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line)""")
-def line_spans(spark, sf_dir, where="NOT contains(text, chr(13))"):
-    d = _read(spark, sf_dir, "documents").filter(where)
+@_query("line_spans")
+def line_spans(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
     return markdown_lines.lines(d).select("doc_id", F.col("line").cast("long").alias("line"), "char_start", F.col("char_end").cast("long").alias("char_end"), "byte_start", F.col("byte_end").cast("long").alias("byte_end"))
 
 
-QUERIES["line_spans_whole"] = partial(line_spans, where="true")
-
 
 _LINES = "WITH l AS (SELECT doc_id, unnest(generate_series(1, len(string_split_regex(text, '\\r\\n|\\n|\\r')))) AS line, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS t FROM documents) "
 
@@ -438,27 +424,23 @@ def _(spark, sf_dir):
     return rows.groupBy(markdown_lines.line_kind(F.col("text")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("pipe_table_rows", _LINES + "SELECT doc_id, line, len(string_split(regexp_replace(trim(t), '^\\||\\|$', '', 'g'), '|')) AS cells FROM l WHERE contains(t, '|') AND NOT contains(t, chr(92))")
-def pipe_table_rows(spark, sf_dir, where="NOT contains(text, chr(92))"):
-    rows = markdown_lines.lines(_read(spark, sf_dir, "documents")).filter(markdown_lines.is_pipe_row(F.col("text"))).filter(where)
+@_query("pipe_table_rows")
+def pipe_table_rows(spark, sf_dir):
+    rows = markdown_lines.lines(_read(spark, sf_dir, "documents")).filter(markdown_lines.is_pipe_row(F.col("text")))
     return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.size(markdown_lines.table_cells(F.col("text"))).cast("long").alias("cells"))
 
 
-QUERIES["pipe_table_rows_whole"] = partial(pipe_table_rows, where="true")
-
 
 # ---- cells, values, styles ----
 
 
-@_query("a1_address", "SELECT p_partkey, CASE WHEN p_partkey > 702 THEN chr((64 + ((p_partkey - 703) // 676) % 26 + 1)::INTEGER) ELSE '' END || CASE WHEN p_partkey > 26 THEN chr((64 + ((p_partkey - 27) // 26) % 26 + 1)::INTEGER) ELSE '' END || chr((64 + (p_partkey - 1) % 26 + 1)::INTEGER) || p_size AS address, p_partkey AS column_number, p_size::BIGINT AS row_number FROM part WHERE p_partkey BETWEEN 1 AND 18278")
-def a1_address(spark, sf_dir, where="p_partkey BETWEEN 1 AND 18278"):
-    p = _read(spark, sf_dir, "part").filter(where).withColumn("address", values.a1(F.col("p_size"), F.col("p_partkey")))
+@_query("a1_address", "SELECT p_partkey, CASE WHEN p_partkey >= 1 AND p_size >= 1 THEN CASE WHEN p_partkey > 18278 THEN chr((64 + ((p_partkey - 18279) // 17576) % 26 + 1)::INTEGER) ELSE '' END || CASE WHEN p_partkey > 702 THEN chr((64 + ((p_partkey - 703) // 676) % 26 + 1)::INTEGER) ELSE '' END || CASE WHEN p_partkey > 26 THEN chr((64 + ((p_partkey - 27) // 26) % 26 + 1)::INTEGER) ELSE '' END || chr((64 + (p_partkey - 1) % 26 + 1)::INTEGER) || p_size END AS address, CASE WHEN p_partkey >= 1 AND p_size >= 1 THEN p_partkey END AS column_number, CASE WHEN p_partkey >= 1 AND p_size >= 1 THEN p_size::BIGINT END AS row_number FROM part")
+def a1_address(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").withColumn("address", values.a1(F.col("p_size"), F.col("p_partkey")))
     parsed = values.parse_a1(F.col("address"))
     return p.select("p_partkey", "address", parsed["column"].alias("column_number"), parsed["row"].alias("row_number"))
 
 
-QUERIES["a1_address_whole"] = partial(a1_address, where="true")
-
 
 @_query("range_membership", "SELECT 'B2:D40' AS sqref, l_orderkey AS row, l_linenumber::BIGINT AS col FROM lineitem WHERE l_orderkey BETWEEN 2 AND 40 AND l_linenumber BETWEEN 2 AND 4 UNION ALL SELECT 'A100:A3000', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey BETWEEN 100 AND 3000 AND l_linenumber = 1")
 def _(spark, sf_dir):
@@ -467,14 +449,12 @@ def _(spark, sf_dir):
     return styles.cells_in_ranges(cells, placed, ["sheet"]).select("sqref", "row", F.col("column").alias("col"))
 
 
-@_query("range_expand", "SELECT p_partkey, r AS row, c AS col FROM part, generate_series(1, p_size % 4) AS a(r), generate_series(2, 3) AS b(c) WHERE p_partkey <= 50 AND p_size % 4 > 0")
-def range_expand(spark, sf_dir, where="p_partkey <= 50"):
-    p = _read(spark, sf_dir, "part").filter(where).withColumn("bounds", values.parse_range(F.concat(F.lit("B1:C"), F.greatest(F.lit(1), F.col("p_size") % 4).cast("string"))))
+@_query("range_expand", "SELECT p_partkey, r AS row, c AS col FROM part, generate_series(1, p_size % 4) AS a(r), generate_series(2, 3) AS b(c) WHERE p_size % 4 > 0")
+def range_expand(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").withColumn("bounds", values.parse_range(F.concat(F.lit("B1:C"), F.greatest(F.lit(1), F.col("p_size") % 4).cast("string"))))
     return p.filter("p_size % 4 > 0").select("p_partkey", F.explode(values.expand_range(F.col("bounds"))).alias("x")).select("p_partkey", "x.row", F.col("x.column").alias("col"))
 
 
-QUERIES["range_expand_whole"] = partial(range_expand, where="true")
-
 
 @_query("serial_to_date", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS iso, (date_diff('day', DATE '1904-01-01', o_orderdate::DATE))::BIGINT AS serial_1904 FROM orders")
 def _(spark, sf_dir):
@@ -488,15 +468,13 @@ def _(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", values.duration_text(days).alias("shown"))
 
 
-@_query("number_display", "SELECT l_orderkey, l_linenumber, format('{:,}', l_quantity::INTEGER * 1000) || '.00 kg' AS shown, (l_quantity::INTEGER) || '00%' AS percent FROM lineitem WHERE l_orderkey <= 2000")
-def number_display(spark, sf_dir, where="l_orderkey <= 2000"):
-    li = _read(spark, sf_dir, "lineitem").filter(where)
+@_query("number_display", "SELECT l_orderkey, l_linenumber, format('{:,}', l_quantity::INTEGER * 1000) || '.00 kg' AS shown, (l_quantity::INTEGER) || '00%' AS percent FROM lineitem")
+def number_display(spark, sf_dir):
+    li = _read(spark, sf_dir, "lineitem")
     show = lambda value, code: values.displayed(value.cast("string"), F.lit(code), F.lit("1900"))
     return li.select("l_orderkey", "l_linenumber", show(F.col("l_quantity").cast("int") * 1000, '#,##0.00" kg"').alias("shown"), show(F.col("l_quantity").cast("int"), "0%").alias("percent"))
 
 
-QUERIES["number_display_whole"] = partial(number_display, where="true")
-
 
 @_query("cell_typing", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'integer' WHEN 1 THEN 'decimal' WHEN 2 THEN 'boolean' ELSE 'string' END AS type, CASE p_size % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size || '.5' WHEN 2 THEN 'true' ELSE p_brand END AS value, CASE WHEN p_size % 4 = 3 THEN 'unsupported' ELSE 'preserved' END AS status FROM part")
 def _(spark, sf_dir):
@@ -507,14 +485,14 @@ def _(spark, sf_dir):
 
 
 @_query("style_cascade", """
-WITH own AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey <= 500)
+WITH own AS (SELECT p_partkey, p_brand, p_size FROM part)
 SELECT 'part-' || p_partkey AS style_id, 'size' AS property, p_size::VARCHAR AS value, 'part-' || p_partkey AS source_id, 'direct' AS action FROM own
 UNION ALL SELECT 'part-' || p_partkey, 'color', p_brand, p_brand, 'inherit' FROM own
 UNION ALL SELECT DISTINCT p_brand, 'color', p_brand, p_brand, 'direct' FROM own
 UNION ALL SELECT 'part-' || p_partkey, 'font', 'plain', 'defaults', 'default' FROM own
 UNION ALL SELECT DISTINCT p_brand, 'font', 'plain', 'defaults', 'default' FROM own""")
-def style_cascade(spark, sf_dir, where="p_partkey <= 500"):
-    p = _read(spark, sf_dir, "part").filter(where)
+def style_cascade(spark, sf_dir):
+    p = _read(spark, sf_dir, "part")
     name, doc = F.concat_ws("-", F.lit("part"), "p_partkey"), F.lit("tables").alias("document_id")
     brands = p.select(doc, F.col("p_brand").alias("style_id")).distinct()
     own = p.select(doc, name.alias("style_id"), F.col("p_brand").alias("based_on")).unionByName(brands.withColumn("based_on", F.lit(None).cast("string")))
@@ -523,8 +501,6 @@ def style_cascade(spark, sf_dir, where="p_partkey <= 500"):
     return styles.resolve_styles(own, declared.withColumn("source_id", F.lit(None).cast("string")), defaults).select("style_id", "property", "value", "source_id", "action")
 
 
-QUERIES["style_cascade_whole"] = partial(style_cascade, where="true")
-
 
 @_query("conditional_format_winner", """
 SELECT l_orderkey AS row, l_linenumber::BIGINT AS col, 'color' AS property, CASE WHEN l_quantity > 40 AND l_linenumber <= 3 THEN 'blue' WHEN l_quantity > 30 THEN 'red' ELSE 'grey' END AS value

@@ -87,3 +87,42 @@ def test_sinks_and_command_line(spark, tmp_path, capsys):
         sinks.write_json(good, documents, documents)
     (tmp_path / "in" / "b.pdf").write_text("none")
     assert cli.run(spark, ["convert", str(tmp_path / "in"), str(tmp_path / "out2")]) == 2
+
+
+def test_pages_over_several_documents(spark):
+    from factlattice.operators import query
+    from factlattice.plans.contract import Contract
+
+    rows = [(d, "nodes", n, "p", None, k, None) for d in ("A", "B", "C") for k, n in enumerate(("n1", "n2", "n3"))]
+    entities = spark.createDataFrame(rows, "document_id string, collection string, entity_id string, kind string, status string, ordinal int, payload string")
+    contract = Contract.from_types({"nodes": {"/name": "string"}}, version="v")
+    for size in (1, 2, 4, 9):
+        seen, cursor = [], None
+        while True:
+            page, cursor = query.list_entities_page(entities, contract, "d", "nodes", limit=size, cursor=cursor)
+            seen += [(r["entity_id"], r["document_id"]) for r in page]
+            if cursor is None:
+                break
+        assert seen == sorted((n, d) for d, _, n, *_ in rows)
+
+
+def test_integers_of_any_length_are_ordered(spark):
+    from factlattice.operators import facts, query
+
+    numbers = [0, 7, -7, 10, -10, 2**53, 2**53 + 1, -(2**53) - 1, 10**400, -(10**400), 10**400 + 1]
+    payloads = [("d", "things", str(k), "t", None, 0, facts.canonical_json({"v": n})) for k, n in enumerate(numbers)]
+    fields = facts.flatten(spark.createDataFrame(payloads, "document_id string, collection string, entity_id string, kind string, status string, ordinal int, payload string"), with_root=False).cache()
+    assert fields.count() == len(numbers)
+    for bound in (0, -7, 2**53, 10**400):
+        for operator, holds in (("lt", int.__lt__), ("lte", int.__le__), ("gt", int.__gt__), ("gte", int.__ge__)):
+            got = {int(r["value_json"]) for r in fields.filter(query.compare(operator, bound)).collect()}
+            assert got == {n for n in numbers if holds(n, bound)}, (operator, bound)
+
+
+def test_deep_documents_are_quarantined(spark):
+    from factlattice.operators import facts
+
+    deep = lambda n: '{"documentId":"d%d","x":' % n + "[" * n + "]" * n + "}"
+    fine, rest = facts.load_documents(spark.createDataFrame([(deep(n),) for n in (5, 150, 300, 1500, 100_000)], "value string"))
+    assert {r["document_id"] for r in fine.collect()} == {"d5", "d150"} and rest.count() == 3
+    assert facts.entities(fine).count() == 2

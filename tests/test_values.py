@@ -68,3 +68,20 @@ def test_contract_from_a_schema():
     assert found["/nodeId"] == "id-string" and found["/size"] == "decimal-string" and found["/n"] == "integer" and found["/bag"] == "map" and found["/bag/*"] == "string" and "/open/**" in found and found["/tree/kids"] == "list" and found["/either/b"] == "boolean"
     assert "lt" in contract.admit("nodes", "/size", "lt")[0].operators
     assert contract.matching("nodes", "/open/x/y") and not contract.matching("nodes", "/none")
+
+
+def test_cells_of_files_and_of_columns_have_one_typing(spark):
+    from pyspark.sql import functions as F
+
+    from factlattice.sources.spreadsheet import cell_value
+
+    cells = [("1", "b", None), ("TRUE", "b", None), ("2", "b", None), ("#N/A", "e", None), ("2024-01-02", "d", None), ("2024-01-02T03:04:05", "d", None), ("late", "d", None), ("", "n", None), ("", "s", None), ("x", "str", "yyyy"), ("-7", "n", None), ("1.50", "n", "0.00"), ("NaN", "n", None)]
+    cells += [(raw, "n", code) for raw in ("45292", "0", "59", "60", "61", "45292.75", "-1", "-2") for code in ("yyyy", 'd "h"', "h:mm", "[h]:mm", "[Red]0", "\\y0")]
+    cells = [(k, *c, system) for k, (c, system) in enumerate((c, system) for c in cells for system in ("1900", "1904"))]
+    df = spark.createDataFrame(cells, "k int, raw string, kind string, code string, system string")
+    got = df.select("k", values.typed_cell(F.col("raw"), F.col("kind"), F.col("code"), F.col("system")).alias("v")).collect()
+    for r in got:
+        _, raw, kind, code, system = cells[r["k"]]
+        own, v = cell_value(raw, kind, code, system), r["v"]
+        value = None if own["value"] is None else str(own["value"]).lower() if isinstance(own["value"], bool) else own["value"]
+        assert (own["type"], value, own["status"]) == (v["type"], v["value"], v["status"]), (raw, kind, code, system)

@@ -7,10 +7,6 @@ from test_queries import TABLES, rows
 from factlattice import registry
 
 SF = "/root/testdata/sf0.01"
-#: What the SQL of a query leaves out, by its name.
-CUTS = {"subtree_text": " WHERE conv_id < 20", "ancestors_of_lineitem": " WHERE l_orderkey <= 20", "range_expand": "p_partkey <= 50 AND ", "number_display": " WHERE l_orderkey <= 2000", "style_cascade": " WHERE p_partkey <= 500", "query_fields_template": " WHERE l_linenumber <= 4", "query_fields_contains_list": " WHERE l_linenumber <= 4"}
-
-
 @pytest.fixture(scope="module")
 def duck():
     connection = duckdb.connect()
@@ -19,22 +15,6 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_whole_tables(spark, duck, name):
-    sql = registry.oracle_sql()[name]
-    assert CUTS[name] in sql
-    got = registry.queries()[f"{name}_whole"](spark, SF)
-    expected = duck.sql(sql.replace(CUTS[name], ""))
-    found = rows(got.columns, got.collect())
-    assert sorted(got.columns) == sorted(expected.columns) and found != rows(got.columns, registry.queries()[name](spark, SF).collect())
-    assert found == rows(expected.columns, expected.fetchall())
-
-
-def test_whole_baskets_lack_the_same_fields(spark):
-    got = registry.queries()["coverage_anti_whole"](spark, SF).collect()
-    assert sorted(tuple(r) for r in got) == [("baskets", "/lines/*"), ("baskets", "/lines/*/n")]
-
-
 def test_reachability_of_the_whole_tree(spark, duck):
     edges = duck.sql("SELECT 'r-' || n_regionkey, 'n-' || n_nationkey FROM nation UNION ALL SELECT 'n-' || c_nationkey, 'c-' || c_custkey FROM customer UNION ALL SELECT 'c-' || o_custkey, 'o-' || o_orderkey FROM orders UNION ALL SELECT 'o-' || l_orderkey, 'l-' || l_orderkey || '-' || l_linenumber FROM lineitem").fetchall()
     below, level = {}, {"r-0", "r-1"}
@@ -44,14 +24,14 @@ def test_reachability_of_the_whole_tree(spark, duck):
     while level:
         level = {c for p in level for c in below.get(p, ())}
         reached |= level
-    got = registry.queries()["reachability_whole"](spark, SF).collect()
+    got = registry.queries()["reachability"](spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted((c, "unreachable") for c in {c for _, c in edges} - reached)
     assert any(r["node_id"].startswith("l-") for r in got)
 
 
 def test_addresses_of_four_letters(spark, tmp_path):
     spark.createDataFrame([(1, 3), (18278, 4), (18279, 5), (19999, 6)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    got = registry.queries()["a1_address_whole"](spark, str(tmp_path)).collect()
+    got = registry.queries()["a1_address"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, "A3", 1, 3), (18278, "ZZZ4", 18278, 4), (18279, "AAAA5", 18279, 5), (19999, "ACOE6", 19999, 6)]
 
 
@@ -70,5 +50,5 @@ def test_lines_and_cells_of_all_documents(spark, tmp_path):
                 bare = line.strip(" ").replace("\\|", "#")
                 cells.append((k, n + 1, len(bare.removeprefix("|").removesuffix("|").split("|"))))
     found = lambda name, columns: sorted(tuple(r[c] for c in columns) for r in registry.queries()[name](spark, str(tmp_path)).collect())
-    assert found("line_spans_whole", ["doc_id", "line", "char_start", "char_end", "byte_start", "byte_end"]) == spans
-    assert found("pipe_table_rows_whole", ["doc_id", "line", "cells"]) == cells
+    assert found("line_spans", ["doc_id", "line", "char_start", "char_end", "byte_start", "byte_end"]) == spans
+    assert found("pipe_table_rows", ["doc_id", "line", "cells"]) == cells
