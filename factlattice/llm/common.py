@@ -125,8 +125,10 @@ def blocks(batches, column: str = "text", size: int = BLOCK_BYTES):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine, where that is unset, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share with the driver")
     if not base:
         application = spark.sparkContext.applicationId
         if application not in _OWN:
