@@ -16,9 +16,12 @@ def node_edges(references: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder spark.checkpoint.dir, which cuts its lineage."""
+    """df as a table in the shared folder spark.checkpoint.dir, which cuts its lineage; on one machine that may be unset."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/factlattice-work"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share with the driver")
+    base = base or f"file://{tempfile.gettempdir()}/factlattice-work"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
