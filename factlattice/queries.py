@@ -254,12 +254,14 @@ def _(spark, sf_dir):
     return validation.duplicate_ids(named).select("entity_id", F.col("detail").cast("long").alias("n"))
 
 
-@_query("reciprocity", "SELECT o_orderkey AS child, o_custkey AS parent FROM orders WHERE o_totalprice <= 1000 OR o_orderkey % 7 = 0")
+@_query("reciprocity", "SELECT 'o-' || o_orderkey AS child, 'c-' || o_custkey || ' does not list it' AS detail FROM orders WHERE o_totalprice <= 1000 OR o_orderkey % 7 = 0")
 def _(spark, sf_dir):
     o = _read(spark, sf_dir, "orders")
-    up = o.select(F.col("o_orderkey").alias("child"), F.col("o_custkey").alias("parent"), F.lit(True).alias("up"))
-    down = o.filter("NOT (o_totalprice <= 1000 OR o_orderkey % 7 = 0)").select(F.col("o_orderkey").alias("child"), F.col("o_custkey").alias("parent"), F.lit(True).alias("down"))
-    return up.join(down, ["child", "parent"], "full").filter("up IS NULL OR down IS NULL").select("child", "parent")
+    child, parent = F.concat_ws("-", F.lit("o"), "o_orderkey"), F.concat_ws("-", F.lit("c"), "o_custkey")
+    fact = lambda df, owner, pointer, value: df.select(F.lit("tables").alias("document_id"), F.lit("nodes").alias("collection"), F.lit("string").alias("value_type"), owner.alias("entity_id"), F.lit(pointer).alias("pointer"), value.alias("value_string"))
+    listed = o.filter("NOT (o_totalprice <= 1000 OR o_orderkey % 7 = 0)")
+    fields = fact(o, child, "/parentId", parent).unionByName(fact(listed, parent, "/childIds/0", child))
+    return validation.reciprocity(fields).select(F.col("entity_id").alias("child"), "detail")
 
 
 # ---- trees ----
@@ -408,9 +410,14 @@ def line_spans(spark, sf_dir):
 _LINES = "WITH l AS (SELECT doc_id, unnest(generate_series(1, len(string_split_regex(text, '\\r\\n|\\n|\\r')))) AS line, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS t FROM documents) "
 
 
-@_query("heading_rows", _LINES + "SELECT doc_id, line, length(regexp_extract(t, '^ {0,3}(#{1,6})', 1)) AS level FROM l WHERE regexp_matches(t, '^ {0,3}#{1,6}(?:[ \\t]|$)')")
+@_query("heading_rows", """
+WITH d AS (SELECT p_partkey AS doc_id, 'about' || chr(10) || repeat(' ', p_size % 5) || repeat('#', p_size % 8) || CASE WHEN p_size % 3 = 0 THEN '' ELSE ' ' END || p_name AS text FROM part),
+l AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM d)
+SELECT doc_id, line, length(regexp_extract(t, '^ {0,3}(#{1,6})', 1)) AS level FROM l WHERE regexp_matches(t, '^ {0,3}#{1,6}(?:[ \\t]|$)')""")
 def _(spark, sf_dir):
-    rows = markdown_lines.lines(_read(spark, sf_dir, "documents"))
+    gap = F.when(F.col("p_size") % 3 == 0, "").otherwise(" ")
+    made = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("about\n"), F.expr("repeat(' ', p_size % 5)"), F.expr("repeat('#', p_size % 8)"), gap, "p_name").alias("text"))
+    rows = markdown_lines.lines(made)
     return rows.select("doc_id", F.col("line").cast("long").alias("line"), markdown_lines.heading_level(F.col("text")).cast("long").alias("level")).filter("level IS NOT NULL")
 
 
@@ -456,10 +463,12 @@ def range_expand(spark, sf_dir):
 
 
 
-@_query("serial_to_date", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS iso, (date_diff('day', DATE '1904-01-01', o_orderdate::DATE))::BIGINT AS serial_1904 FROM orders")
+@_query("serial_to_date", "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS iso, o_orderdate::DATE::VARCHAR AS iso_1904 FROM orders")
 def _(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders").withColumn("serial", F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1899-12-31"))) + 1)
-    return o.select("o_orderkey", values.serial_date(F.col("serial"), F.lit("1900"), F.lit(False)).alias("iso"), (F.col("serial") - 1462).cast("long").alias("serial_1904"))
+    """Serial numbers of dates in both systems, read back as dates."""
+    days = lambda first: F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit(first)))
+    o = _read(spark, sf_dir, "orders")
+    return o.select("o_orderkey", values.serial_date(days("1899-12-31") + 1, F.lit("1900"), F.lit(False)).alias("iso"), values.serial_date(days("1904-01-01"), F.lit("1904"), F.lit(False)).alias("iso_1904"))
 
 
 @_query("duration_display", "SELECT p_partkey, lpad((p_size * 4321 // 3600)::VARCHAR, 2, '0') || ':' || lpad((p_size * 4321 // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((p_size * 4321 % 60)::VARCHAR, 2, '0') AS shown FROM part")
@@ -608,11 +617,11 @@ def _(spark, sf_dir):
     return points_in_spans(points, spans, ["doc"], band=256).select(F.col("at").alias("event_id"), "p_partkey")
 
 
-@_query("canonical_decimals", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE NOT regexp_matches((l_quantity::DECIMAL(12,2))::VARCHAR, '\\.[0-9]*0$') GROUP BY ALL")
+@_query("canonical_decimals", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE NOT regexp_matches((l_extendedprice::DECIMAL(12,2))::VARCHAR, '\\.[0-9]*0$') GROUP BY ALL")
 def _(spark, sf_dir):
     from factlattice.operators.validation import canonical_decimal
 
-    li = _read(spark, sf_dir, "lineitem").withColumn("text", F.col("l_quantity").cast("decimal(12,2)").cast("string"))
+    li = _read(spark, sf_dir, "lineitem").withColumn("text", F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))
     return li.filter(canonical_decimal(F.col("text"))).groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
 
 
