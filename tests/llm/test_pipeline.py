@@ -37,3 +37,16 @@ def test_rows_without_an_id_of_their_own_stay(spark, tmp_path, monkeypatch):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert Counter(r["doc_id"] for r in got.filter("start = 0").collect()) == Counter({**dict.fromkeys(range(30), 1), 5: 3, None: 2})
+
+
+def test_an_empty_table_gives_no_pieces(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_rows_without_labels_are_rejected_by_the_first_stage_alone(spark, tmp_path):
+    """Without any language to learn every text is undetermined, and nothing is left to pack."""
+    rows = [(k, f"words of text {k}", None, "s0", 10) for k in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
