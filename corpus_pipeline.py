@@ -86,7 +86,10 @@ def name_rows(docs: DataFrame, work: Work) -> tuple[DataFrame, DataFrame | None]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that every stage keeps, also of those without an id or with one that others have too."""
+    """Pieces of the documents that every stage keeps, also of those without an id or with one that others have too.
+
+    An empty table, or one without any language to learn, gives no pieces.
+    """
     work = Work(spark, "pipeline")
     docs, names = name_rows(documents(spark, sf_dir), work)
     for k, (_, stage) in enumerate(STAGES):
