@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
 
 from factlattice.functions.values import sheet_tint
-from factlattice.sources.containers import Package, attribute, below, child, children, local
+from factlattice.sources.colours import Layer, rgb_value, theme_colours
+from factlattice.sources.containers import Package, attribute, child, children, local
 from factlattice.sources.ir import Builder, SourceError, plain_decimal
 
 #: Number formats that have an id and no text in a package.
@@ -18,8 +18,6 @@ BUILT_IN = {
 }
 #: The first eight colours of the indexed palette, which its next eight repeat. Fixed values of the format.
 PALETTE = ("000000", "FFFFFF", "FF0000", "00FF00", "0000FF", "FFFF00", "FF00FF", "00FFFF")
-#: Slots of a theme in the order of their numbers. Fixed values of the format.
-SLOTS = ("lt1", "dk1", "lt2", "dk2", "accent1", "accent2", "accent3", "accent4", "accent5", "accent6", "hlink", "folHlink")
 #: Points of border lines. Fixed values of the format.
 LINE_WIDTHS = {"hair": "0.25", "thin": "0.5", "medium": "1", "thick": "1.5", "double": "1.5"}
 UNDERLINES = ("single", "double", "dotted", "wave")
@@ -30,21 +28,6 @@ COMPARISONS = {
 }
 
 
-@dataclass
-class Layer:
-    """What one part of a format states: authored and resolved properties, and what could not be resolved."""
-
-    authored: dict = field(default_factory=dict)
-    resolved: dict = field(default_factory=dict)
-    issues: list[str] = field(default_factory=list)
-
-    def put(self, name: str, authored, resolved) -> None:
-        if authored is not None:
-            self.authored[name] = authored
-        if resolved is not None:
-            self.resolved[name] = resolved
-
-
 def integer(element, name: str, default: int = 0) -> int:
     """An attribute that should be an integer; the default where it is not."""
     text = attribute(element, name) if element is not None else None
@@ -55,24 +38,6 @@ def flag(element, name: str) -> bool:
     return element is not None and attribute(element, name) in ("1", "true")
 
 
-def _rgb(digits: str, alpha: int | str = 1) -> dict:
-    return {"kind": "rgb", **{c: int(digits[k : k + 2], 16) for c, k in (("r", 0), ("g", 2), ("b", 4))}, "a": alpha}
-
-
-def theme_colours(root) -> dict[str, dict]:
-    """Colours of a theme's scheme, by slot and by number."""
-    out: dict[str, dict] = {}
-    scheme = next(iter(below(root, "clrScheme")), None) if root is not None else None
-    for slot in scheme if scheme is not None else ():
-        for colour in slot:
-            if local(colour) in ("srgbClr", "sysClr"):
-                stated = [attribute(colour, n) for n in ("val", "lastClr")]
-                if digits := next((d for d in stated if re.fullmatch("[0-9A-Fa-f]{6}", d or "")), None):
-                    out[local(slot)] = _rgb(digits)
-                break
-    return out | {str(k): out[s] for k, s in enumerate(SLOTS) if s in out}
-
-
 def colour(element, theme: dict[str, dict]) -> tuple[dict | None, dict | None, str | None]:
     """(authored, resolved, issue) of a colour element; a theme colour is resolved with its tint."""
     token = lambda slot: {"kind": "theme", "slot": slot}
@@ -81,7 +46,7 @@ def colour(element, theme: dict[str, dict]) -> tuple[dict | None, dict | None, s
         if not re.fullmatch("(?:[0-9A-Fa-f]{2})?[0-9A-Fa-f]{6}", raw):
             return token("unresolved"), None, f"{raw!r} is no colour"
         alpha = int(raw[:2], 16) if len(raw) == 8 else 255
-        made = _rgb(raw[-6:], 1 if alpha == 255 else plain_decimal(Decimal(alpha) / 255))
+        made = rgb_value(raw[-6:], 1 if alpha == 255 else plain_decimal(Decimal(alpha) / 255))
         return made, made, None
     if slot := stated["theme"]:
         own = token(f"theme:{slot}")
@@ -96,7 +61,7 @@ def colour(element, theme: dict[str, dict]) -> tuple[dict | None, dict | None, s
         return own, {**base, **dict(zip("rgb", shade))}, None
     if index := stated["indexed"]:
         if re.fullmatch(r"\d|1[0-5]", index):
-            made = _rgb(PALETTE[int(index) % len(PALETTE)])
+            made = rgb_value(PALETTE[int(index) % len(PALETTE)])
             return made, made, None
         return token(f"indexed:{index}"), None, f"colour {index} is beyond the fixed palette"
     if flag(element, "auto"):

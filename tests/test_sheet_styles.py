@@ -1,6 +1,7 @@
 import json
 
 from factlattice.sources import sheet_styles, spreadsheet
+from factlattice.sources.colours import theme_colours
 from factlattice.sources.containers import bounded_xml
 from factlattice.sources.ir import Limits
 from tests.test_documents import RELS, TYPE, XLSX, X, package
@@ -92,7 +93,7 @@ def test_styled_documents_have_no_violations(spark):
 
 
 def test_colours():
-    theme = sheet_styles.theme_colours(bounded_xml(THEME.encode(), Limits()))
+    theme = theme_colours(bounded_xml(THEME.encode(), Limits()))
     element = lambda text: bounded_xml(f"<color {text}/>".encode(), Limits())
     of = lambda text: sheet_styles.colour(element(text), theme)
     assert of('theme="1"')[1] == {"kind": "rgb", "r": 16, "g": 16, "b": 16, "a": 1} and of('theme="0"')[1]["r"] == 255
