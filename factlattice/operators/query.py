@@ -66,11 +66,18 @@ def in_profile(rows: DataFrame, profiles: DataFrame, contract: Contract, profile
     return rows.join(profiles.filter(F.col("profile") == profile), "document_id", "left_semi")
 
 
-def list_entities(entities: DataFrame, collection: str | None = None, kind: str | None = None, status: str | None = None, identifier: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """Entities by optional equalities, ordered by id, then offset and limit."""
+def _profiled(rows: DataFrame, profiles: DataFrame | None, contract: Contract | None, profile: str | None) -> DataFrame:
+    if profile is not None and (profiles is None or contract is None):
+        raise QueryError("a profile needs the contract and the profiles of the documents")
+    return rows if profile is None else in_profile(rows, profiles, contract, profile)
+
+
+def list_entities(entities: DataFrame, collection: str | None = None, kind: str | None = None, status: str | None = None, identifier: str | None = None, offset: int = 0, limit: int | None = None, profile: str | None = None, profiles: DataFrame | None = None, contract: Contract | None = None) -> DataFrame:
+    """Entities by optional equalities and the profile of their documents, ordered by id, then offset and limit."""
     if offset < 0 or (limit is not None and limit < 0):
         raise QueryError("offset and limit are not negative")
-    rows = _equalities(entities, collection=collection, kind=kind, status=status, entity_id=identifier).orderBy("entity_id", "document_id", "collection")
+    rows = _profiled(_equalities(entities, collection=collection, kind=kind, status=status, entity_id=identifier), profiles, contract, profile)
+    rows = rows.orderBy("entity_id", "document_id", "collection")
     rows = rows.offset(offset) if offset else rows
     return rows if limit is None else rows.limit(limit)
 
@@ -98,10 +105,7 @@ def list_entities_page(entities: DataFrame, contract: Contract, digest: str, col
         raise QueryError(f"a page has 1 to {MAX_PAGE} entities")
     binding = {"version": contract.version, "digest": digest, "collection": collection, "kind": kind, "status": status, "profile": profile}
     rows = _equalities(entities, collection=collection, kind=kind, status=status)
-    if profile is not None:
-        if profiles is None:
-            raise QueryError("a profile needs the profiles of the documents")
-        rows = in_profile(rows, profiles, contract, profile)
+    rows = _profiled(rows, profiles, contract, profile)
     if cursor is not None:
         bound = decode_cursor(cursor)
         last, document = bound.pop("lastId", None), bound.pop("lastDocument", None)
@@ -150,8 +154,8 @@ def compare_decimal(operator: str, value: str) -> Column:
     return F.coalesce(result, F.lit(False))
 
 
-def query_fields(fields: DataFrame, entities: DataFrame, contract: Contract, pointer: str, value=_NO_VALUE, operator: str = "eq", collection: str | None = None, kind: str | None = None, status: str | None = None, namespace: str | None = None, extension_type: str | None = None, schema_version: str | None = None) -> DataFrame:
-    """Fields that a pointer or template names and that meet an operator.
+def query_fields(fields: DataFrame, entities: DataFrame, contract: Contract, pointer: str, value=_NO_VALUE, operator: str = "eq", collection: str | None = None, kind: str | None = None, status: str | None = None, namespace: str | None = None, extension_type: str | None = None, schema_version: str | None = None, profile: str | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """Fields that a pointer or template names and that meet an operator, of documents that have the profile if one is given.
 
     Gives document_id, collection, entity_id, pointer, presence (value, null or missing), value_json, status. The
     contract decides before any job whether the pointer is registered and allows the operator. `exists` counts null;
@@ -172,7 +176,7 @@ def query_fields(fields: DataFrame, entities: DataFrame, contract: Contract, poi
             raise QueryError(f"pointer is not registered: {pointer}")
         for target in targets:
             contract.admit(target, pointer, operator, **identity)
-    asked = _equalities(entities.filter(F.col("collection").isin(targets)), kind=kind, status=status)
+    asked = _profiled(_equalities(entities.filter(F.col("collection").isin(targets)), kind=kind, status=status), profiles, contract, profile)
     for key, wanted in (("namespace", namespace), ("type", extension_type), ("schemaVersion", schema_version)):
         if wanted is not None:
             asked = asked.filter((F.col("collection") != "extensions") | (F.get_json_object("payload", f"$.{key}") == wanted))

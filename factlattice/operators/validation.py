@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from factlattice.functions.pointers import template_condition
 from factlattice.operators.canonical import FORBIDDEN
+from factlattice.operators.extensions import profile_violations
 from factlattice.operators.facts import COLLECTIONS, DOCUMENT
 from factlattice.operators.trees import cyclic, node_edges, reachability
+from factlattice.plans.document import known_profiles, schema_violations
 
 # fixed values of the document format
 STATUSES = ("preserved", "normalized", "approximated", "ambiguous", "unsupported", "omitted-by-policy", "unavailable", "failed")
@@ -91,7 +93,7 @@ VARIANTS = {
 }
 
 RULES = (
-    "ID-DUPLICATE", "STATUS-INVALID", "FORBIDDEN-KEY", "FRACTIONAL-NUMBER", "DISCRIMINATOR-REQUIRED", "DISCRIMINATOR-FORBIDDEN", "ROOT-MISSING", "ROOT-KIND",
+    "SCHEMA", "PROFILE", "ID-DUPLICATE", "STATUS-INVALID", "FORBIDDEN-KEY", "FRACTIONAL-NUMBER", "DISCRIMINATOR-REQUIRED", "DISCRIMINATOR-FORBIDDEN", "ROOT-MISSING", "ROOT-KIND",
     "ROOT-PARENT", "NODE-KIND", "DUPLICATE-MEMBER", "REFERENCE-DANGLING", "REFERENCE-COLLECTION", "REFERENCE-KIND", "MULTIPLE-PARENT", "RECIPROCITY", "ORPHAN",
     "UNREACHABLE", "RUN-TEXT-MISSING", "CELL-ADDRESS-MISSING", "GEOMETRY-MISSING", "NODE-VARIANT", "TYPED-VALUE", "PART-CYCLE", "STYLE-CYCLE", "SPACE-CYCLE",
     "TABLE-CONTAINMENT", "ORDER-DUPLICATE", "CONNECTOR-ENDPOINT", "CONVERSION-STATUS", "COMPLETE-CLAIM", "WARNING-STATUS", "FAILED-NO-ERROR", "PARTIAL-NO-EVIDENCE", "INVENTORY-MISMATCH",
@@ -255,8 +257,9 @@ def inventory_mismatch(fields: DataFrame) -> DataFrame:
     return _violation(off.withColumn("entity_id", F.col("document_id")), "INVENTORY-MISMATCH", F.concat_ws(" ", "feature", "status"))
 
 
-def violations(entities: DataFrame, fields: DataFrame, references: DataFrame) -> DataFrame:
-    """All violations of all documents."""
+def violations(entities: DataFrame, fields: DataFrame, references: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """All violations of all documents; those of the schema too if the documents (document_id, ir_json) are given."""
+    whole = documents
     nodes = entities.filter("collection = 'nodes'")
     surface = fields.filter((F.col("collection") == DOCUMENT) & (F.col("pointer") == "/rootNodeId")).select("document_id", F.col("value_string").alias("root_id"))
     documents = entities.filter(F.col("collection") == DOCUMENT).select("document_id", "entity_id")
@@ -290,6 +293,9 @@ def violations(entities: DataFrame, fields: DataFrame, references: DataFrame) ->
         conversion_claims(entities, fields),
         inventory_mismatch(fields),
     ]
+    found.append(_violation(profile_violations(fields, known_profiles(fields)).withColumn("entity_id", F.col("document_id")), "PROFILE", F.col("fault")))
+    if whole is not None:
+        found.append(_violation(schema_violations(whole).withColumn("entity_id", F.col("document_id")), "SCHEMA", F.concat_ws(" ", "pointer", "keyword")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

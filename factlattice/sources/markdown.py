@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import html
+import mimetypes
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from urllib.parse import unquote, urlsplit
 
 from factlattice.sources.ir import Builder, Limits, SourceError
 
@@ -291,6 +294,95 @@ def front_matter(lines: list[str]) -> tuple[dict[str, str], int]:
     return {m[1]: m[2].strip().strip("\"'") for m in entries if m}, end + 1 if end else 0
 
 
+class Source:
+    """Where pieces of blocks stand in the text: half-open spans of code points and of bytes."""
+
+    def __init__(self, text: str, marked: int = 0):
+        self.text = text
+        ends = [m.end() for m in re.finditer(r"\r\n|\n|\r", text)]
+        self.starts = [0, *ends]
+        self.bytes = [marked]
+        for a, b in zip(self.starts, ends):
+            self.bytes.append(self.bytes[-1] + len(text[a:b].encode()))
+
+    def line(self, k: int) -> int:
+        return self.starts[k] if k < len(self.starts) else len(self.text)
+
+    def _byte(self, at: int) -> int:
+        k = bisect_right(self.starts, at) - 1
+        return self.bytes[k] + len(self.text[self.starts[k] : at].encode())
+
+    def find(self, raw: str, at: int, end: int) -> tuple[int, int] | None:
+        """The first place of a piece; line ends of any kind, with the indents and marks of the next line, count as one."""
+        if "\n" not in raw:
+            k = self.text.find(raw, at, end)
+            return (k, k + len(raw)) if k >= 0 else None
+        m = re.compile(r"(?:\r\n|\n|\r)[ \t>]*".join(map(re.escape, raw.split("\n")))).search(self.text, at, end)
+        return m.span() if m else None
+
+    def locator(self, start: int, end: int) -> dict:
+        return {"kind": "span", "start": start, "end": end, "byteStart": self._byte(start), "byteEnd": self._byte(end)}
+
+
+def is_external(target: str) -> bool:
+    return bool(re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|//", target))
+
+
+def linked(target: str, kind: str) -> dict:
+    """A linked resource; nothing is fetched or looked for, and the payload of a data URL is not kept."""
+    parts = urlsplit(target) if "[" not in target and "]" not in target else urlsplit("")
+    if parts.scheme == "data":
+        media = parts.path.partition(",")[0].partition(";")[0] or "application/octet-stream"
+        handle = f"data:{media}"
+    else:
+        media = (mimetypes.guess_type(unquote(parts.path or target))[0] if kind == "image" else None) or "application/octet-stream"
+        handle = target
+    external = is_external(target)
+    return {
+        "kind": kind, "mediaType": media, "embeddedOrExternal": "external" if external else "linked", "availability": "unavailable", "decodability": "not-attempted", "packagePresence": False,
+        "networkAvailability": "unknown" if external else "not-applicable", "derivedHandle": handle, **({"externalTarget": handle} if external else {}),
+    }
+
+
+class Links:
+    """Occurrences of links: a resource for each target, a relation from each occurrence, named by its construct."""
+
+    def __init__(self, builder: Builder, labels: dict[str, Block]):
+        self.builder, self.labels = builder, labels
+        self.resources: dict[tuple[str, str], str] = {}
+        self.seen: dict[str, int] = {}
+
+    def occurrence(self, kind: str, target: str) -> str:
+        """The name of an occurrence; from the second of a construct on with its number."""
+        where = "external" if is_external(target) else "internal" if kind != "image" else "local"
+        base = {"reference-link": "md-reference-link", "reference-image": "md-reference-image", "image": f"md-{where}-image", "autolink": "md-autolink"}.get(kind, f"md-inline-{where}")
+        self.seen[base] = self.seen.get(base, 0) + 1
+        return base if self.seen[base] == 1 else f"{base}-{self.seen[base]}"
+
+    def add(self, run: str, token: Token) -> None:
+        if token.kind not in ("link", "image", "autolink", "reference-link", "reference-image"):
+            return
+        if token.kind.startswith("reference-"):
+            block = self.labels.get(token.target)
+            target = block.info.get("target", "") if block is not None else ""
+            if not target:
+                return
+        else:
+            target = token.target
+        kind = "image" if token.kind.endswith("image") else "link"
+        if kind == "link" and token.kind == "autolink" and "@" in target and ":" not in target:
+            target = f"mailto:{target}"
+        if (kind, target) not in self.resources:
+            made = self.builder.add("resources", **linked(target, kind))["resourceId"]
+            self.builder.add("observations", kind="measurement", targetId=made, method="resolution-not-configured", engine="none", status="unavailable")
+            self.resources[kind, target] = made
+        made = self.resources[kind, target]
+        handle = self.builder.by_id[made]["derivedHandle"]
+        self.builder.add("relations", kind="links", fromId=run, toId=made, type=token.kind, target=handle, targetMode="external" if is_external(target) else "internal", sourceOccurrenceId=self.occurrence(token.kind, target), status="preserved")
+        if kind == "image":
+            self.builder.by_id[run].setdefault("resourceIds", []).append(made)
+
+
 def convert(raw: bytes, limits: Limits, profile: str = "gfm") -> dict:
     try:
         text = raw.decode("utf-8-sig")
@@ -300,7 +392,7 @@ def convert(raw: bytes, limits: Limits, profile: str = "gfm") -> dict:
         raise SourceError("empty, or holds a NUL character")
     dialect = DIALECTS.get(profile, frozenset())
     builder = Builder("markdown", profile, limits)
-    lines = split_lines(text)
+    lines, source = split_lines(text), Source(text, 3 if raw.startswith(b"\xef\xbb\xbf") else 0)
     meta, skip = front_matter(lines)
     if skip:
         builder.add("extensions", targetId=builder.root, namespace="format:markdown", type="front-matter", schemaVersion="1.0.0", criticality="non-critical", payload={"entries": [{"key": k, "value": v} for k, v in meta.items()]})
@@ -321,9 +413,16 @@ def convert(raw: bytes, limits: Limits, profile: str = "gfm") -> dict:
     gather(blocks)
     kinds = {"code": "paragraph", "break": "thematicBreak", "html": "paragraph", "directive": "paragraph", "definition": "resource", "quote": "section", "item": "paragraph"}
 
-    def runs(node: str, source: str):
-        for token in scan_inlines(source, labels.keys(), dialect):
+    links = Links(builder, {name: b for name, b in labels.items() if b.kind == "definition"})
+
+    def runs(node: str, words: str, first: int, last: int):
+        at, end = source.line(first), source.line(last + 1)
+        for token in scan_inlines(words, labels.keys(), dialect):
             run = builder.node("run", node, token.status)
+            if place := source.find(token.raw, at, end):
+                at = place[1]
+                builder.add("sourceMaps", targetId=run, format={"name": "markdown"}, locator=source.locator(*place))
+            links.add(run, token)
             builder.texts(run, token.raw, token.text)
             if token.kind != "text":
                 builder.feature(f"inline-{token.kind}", token.status, run, builder.diagnostic("MARKDOWN-INLINE", f"{token.kind} is kept as text", target=run) if token.status == "unsupported" else None)
@@ -338,19 +437,22 @@ def convert(raw: bytes, limits: Limits, profile: str = "gfm") -> dict:
             if b.info and b.kind != "table":
                 builder.add("extensions", targetId=node, namespace="format:markdown", type={"code": "code-block", "heading": "heading-authoring", "item": "list-marker", "definition": "reference-definition"}.get(b.kind, "authoring-facts"), schemaVersion="1.0.0", criticality="non-critical", payload=b.info)
             if b.kind == "table":
-                columns = [builder.node("column", node) for _ in b.info["alignment"]]
+                width = max(map(len, b.info["rows"]))  # a row may be wider than the one that states the alignment
+                align = (b.info["alignment"] + ["none"] * width)[:width]
+                columns = [builder.node("column", node) for _ in align]
                 rows, cells = [], []
                 for r, row in enumerate(b.info["rows"]):
                     rows.append(builder.node("row", node))
-                    for c, value in enumerate(row[: len(columns)] + [""] * (len(columns) - len(row))):
+                    for c, value in enumerate(row + [""] * (width - len(row))):
                         cells.append(builder.node("cell", rows[-1], address={"row": r + 1, "column": c + 1}))
-                        runs(cells[-1], value)
-                builder.add("tables", nodeId=node, rowIds=rows, columnIds=columns, cellIds=cells, alignment=b.info["alignment"], status="preserved")
+                        line = b.first + r + (r > 0)
+                        runs(cells[-1], value, line, line)
+                builder.add("tables", nodeId=node, rowIds=rows, columnIds=columns, cellIds=cells, alignment=align, status="preserved")
             elif b.kind in ("code", "html", "directive"):
                 run = builder.node("run", node, b.status)
                 builder.text(run, b.text)
             elif b.text and b.kind != "definition":
-                runs(node, b.text)
+                runs(node, b.text, b.first, b.last)
             emit(b.inside, node)
 
     emit(blocks, builder.root)
