@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlattice import queries_documents  # noqa: F401  (registers its queries)
+from factlattice import queries_documents, queries_sources  # noqa: F401  (they register their queries)
 from factlattice.queries import QUERIES, SQL
 
 
