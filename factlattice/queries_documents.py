@@ -65,7 +65,8 @@ def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # nodes differ in their fields, so they are put together as texts
     listed = F.concat(F.lit(',"nodes":['), F.concat_ws(",", *map(F.to_json, nodes)), F.lit("]}"))
-    return _read(spark, sf_dir, "part").select(F.concat(F.lit("p"), _key()).alias("document_id"), F.concat(F.regexp_replace(F.to_json(body), r"\}$", ""), listed).alias("ir_json"))
+    parts = _read(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # a small table that much work is done for each row of
+    return parts.select(F.concat(F.lit("p"), _key()).alias("document_id"), F.concat(F.regexp_replace(F.to_json(body), r"\}$", ""), listed).alias("ir_json"))
 
 
 def part_entities(spark: SparkSession, sf_dir: str, *collections: str) -> DataFrame:

@@ -97,7 +97,7 @@ def made_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f"{r[0]}.{kind}" for r in rows], pa.string()), pa.array([MAKERS[kind](*r) for r in rows], pa.binary())], ["path", "content"])
 
     parts = _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
-    return parts.mapInArrow(run, "path string, content binary")
+    return parts.repartition(spark.sparkContext.defaultParallelism, "p_partkey").mapInArrow(run, "path string, content binary")  # a small table that much work is done for each row of
 
 
 def made_documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
