@@ -108,7 +108,8 @@ def payload_references(fields: DataFrame, entities: DataFrame, rules: list[tuple
     spec = fields.sparkSession.createDataFrame([(n, t, f"/payload{p}", list(c), list(k)) for n, t, p, c, k in rules], "namespace string, type string, pointer string, collections array<string>, kinds array<string>")
     values = fields.filter("collection = 'extensions' AND value_type = 'string'").select("document_id", "entity_id", "pointer", F.col("value_string").alias("target_id"))
     owners = entities.select("document_id", F.col("entity_id").alias("target_id"), F.col("collection").alias("owner"), F.col("kind").alias("owner_kind"))
-    rows = extensions.join(F.broadcast(spec), ["namespace", "type"]).join(values, ["document_id", "entity_id", "pointer"]).join(owners, ["document_id", "target_id"], "left")
+    # rules are written by hand; nothing tells how many entities come of a document, so no other join is broadcast
+    rows = extensions.join(F.broadcast(spec), ["namespace", "type"]).hint("merge").join(values.hint("merge"), ["document_id", "entity_id", "pointer"]).join(owners.hint("merge"), ["document_id", "target_id"], "left")
     fault = (
         F.when(F.col("owner").isNull(), "dangling").when((F.size("collections") > 0) & ~F.array_contains("collections", F.col("owner")), "collection")
         .when((F.size("kinds") > 0) & ~F.coalesce(F.array_contains("kinds", F.col("owner_kind")), F.lit(False)), "kind")

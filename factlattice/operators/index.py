@@ -98,10 +98,13 @@ def parity(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def unregistered(fields: DataFrame, contract: Contract) -> DataFrame:
     """(collection, template) of observed pointers, list positions as *, that the contract does not know."""
-    seen = fields.filter("pointer != ''").select("collection", F.regexp_replace("pointer", "/[0-9]+(?=/|$)", "/*").alias("template")).distinct()
-    known = contract.table(fields.sparkSession).select("collection", "pointer")
-    literal = seen.join(known.withColumnRenamed("pointer", "template"), ["collection", "template"], "left_anti")
-    wild = known.filter("pointer LIKE '%*%'")
+    return uncovered(fields.filter("pointer != ''").select("collection", F.regexp_replace("pointer", "/[0-9]+(?=/|$)", "/*").alias("template")).distinct(), contract)
+
+
+def uncovered(seen: DataFrame, contract: Contract) -> DataFrame:
+    """(collection, template) of distinct observed templates that the contract does not know; they are read once."""
+    known = contract.table(seen.sparkSession).select("collection", "pointer")  # the contract is written by hand
+    literal = seen.select("collection", "template").join(F.broadcast(known.withColumnRenamed("pointer", "template")), ["collection", "template"], "left_anti")
     pattern = F.concat(F.lit("^"), F.replace(F.replace(F.regexp_replace("pointer", r"([.+?^$(){}|\[\]\\])", r"\\$1"), F.lit("/**"), F.lit("(/.*)?")), F.lit("/*"), F.lit("/[^/]*")), F.lit("$"))
-    covered = literal.join(F.broadcast(wild.select("collection", pattern.alias("pattern"))), "collection").filter(F.expr("template RLIKE pattern")).select("collection", "template")  # the contract is small: it is written by hand
-    return literal.join(covered, ["collection", "template"], "left_anti")
+    wild = known.filter("pointer LIKE '%*%'").select(F.col("collection").alias("known_collection"), pattern.alias("pattern"))
+    return literal.join(F.broadcast(wild), F.expr("collection = known_collection AND template RLIKE pattern"), "left_anti")

@@ -37,12 +37,15 @@ def warnings(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.filter(F.col("severity").isin("info", "warning")).select("document_id", F.concat_ws(": ", "code", "message").alias("warning"))
 
 
-def index_counts(entities: DataFrame, fields: DataFrame, references: DataFrame) -> DataFrame:
-    """(name, n): entities of each collection (zeros too), document fields, entity fields with and references."""
+def index_counts(entities: DataFrame, fields: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """(name, n): entities of each collection (zeros too), and of the tables that are given document fields, entity fields and references."""
     spark = entities.sparkSession
     names = spark.createDataFrame([(f"entities.{c}",) for c in COLLECTIONS], "name string")
     own = entities.filter(F.col("collection") != DOCUMENT).groupBy(F.concat(F.lit("entities."), F.col("collection")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    by_collection = names.join(own, "name", "left").fillna(0, ["n"])
-    totals = fields.agg(F.count_if(F.col("collection") == DOCUMENT).alias("document_fields"), F.count_if(F.col("collection") != DOCUMENT).alias("entity_fields"))
-    totals = totals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("document_fields", "entity_fields")])))
-    return by_collection.unionByName(totals).unionByName(references.agg(F.count(F.lit(1)).alias("n")).select(F.lit("references").alias("name"), "n"))
+    out = names.join(own, "name", "left").fillna(0, ["n"])
+    if fields is not None:
+        totals = fields.agg(F.count_if(F.col("collection") == DOCUMENT).alias("document_fields"), F.count_if(F.col("collection") != DOCUMENT).alias("entity_fields"))
+        out = out.unionByName(totals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("document_fields", "entity_fields")]))))
+    if references is not None:
+        out = out.unionByName(references.agg(F.count(F.lit(1)).alias("n")).select(F.lit("references").alias("name"), "n"))
+    return out

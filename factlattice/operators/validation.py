@@ -104,6 +104,13 @@ def _violation(rows: DataFrame, code: str, detail: Column | None = None) -> Data
     return rows.select("document_id", F.lit(RULES.index(code)).alias("rule"), F.lit(code).alias("code"), "entity_id", (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))
 
 
+def _violations(rows: DataFrame, *faults: tuple[str, Column, Column | None]) -> DataFrame:
+    """_violation() for each (code, condition, detail) that holds, reading the rows once."""
+    told = [F.when(condition, F.struct(F.lit(RULES.index(code)).alias("rule"), F.lit(code).alias("code"), (detail if detail is not None else F.lit(None)).cast("string").alias("detail"))) for code, condition, detail in faults]
+    found = rows.select("document_id", "entity_id", F.inline(F.array_compact(F.array(*told))))
+    return found.select("document_id", "rule", "code", "entity_id", "detail")
+
+
 def duplicate_ids(entities: DataFrame) -> DataFrame:
     ids = entities.filter(F.col("collection") != DOCUMENT).groupBy("document_id", "entity_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return _violation(ids, "ID-DUPLICATE", F.col("n"))
@@ -117,11 +124,15 @@ def reference_values(fields: DataFrame) -> DataFrame:
     return found.select("document_id", "entity_id", "pointer", F.col("value_string").alias("target_id"), "targets", "kinds")
 
 
+#: The pointers that `reference_values` reads, as a regular expression.
+REFERENCE_POINTERS = "^(" + "|".join(sorted({p.replace("*", "[0-9]+") for _, p, _, _ in REFERENCE_RULES})) + ")$"
+
+
 def broken_references(fields: DataFrame, entities: DataFrame) -> DataFrame:
     """Dangling references, and those to another collection or kind of node than they may name."""
     values = reference_values(fields)
     owners = entities.filter(F.col("collection") != DOCUMENT).select("document_id", F.col("entity_id").alias("target_id"), F.col("collection").alias("owner"), F.col("kind").alias("owner_kind"))
-    joined = values.join(owners, ["document_id", "target_id"], "left")
+    joined = values.hint("merge").join(owners.hint("merge"), ["document_id", "target_id"], "left")  # nothing tells how many entities come of a document
     wrong = (F.size("targets") > 0) & ~F.array_contains("targets", F.col("owner"))
     code = F.when(F.col("owner").isNull(), "REFERENCE-DANGLING").when(wrong, "REFERENCE-COLLECTION").when((F.size("kinds") > 0) & ~F.coalesce(F.array_contains("kinds", F.col("owner_kind")), F.lit(False)), "REFERENCE-KIND")
     found = joined.withColumn("code", code).filter("code IS NOT NULL")
@@ -131,11 +142,12 @@ def broken_references(fields: DataFrame, entities: DataFrame) -> DataFrame:
 
 def reciprocity(fields: DataFrame) -> DataFrame:
     """Parent edges without the child edge, and child edges without the parent edge."""
-    nodes = fields.filter("collection = 'nodes' AND value_type = 'string'")
-    up = nodes.filter("pointer = '/parentId'").select("document_id", F.col("entity_id").alias("child"), F.col("value_string").alias("parent"), F.lit(True).alias("up"))
-    down = nodes.filter(template_condition(F.col("pointer"), "/childIds/*")).select("document_id", F.col("value_string").alias("child"), F.col("entity_id").alias("parent"), F.lit(True).alias("down"))
-    both = up.join(down, ["document_id", "child", "parent"], "full").filter("up IS NULL OR down IS NULL")
-    return _violation(both.withColumn("entity_id", F.col("child")), "RECIPROCITY", F.concat(F.col("parent"), F.when(F.col("up").isNull(), " has no parentId back").otherwise(" does not list it")))
+    down, up = template_condition(F.col("pointer"), "/childIds/*"), F.col("pointer") == "/parentId"
+    edges = fields.filter((F.col("collection") == "nodes") & (F.col("value_type") == "string") & (down | up))
+    edge = lambda whole, part: F.when(up, F.col(whole)).otherwise(F.col(part))
+    both = edges.groupBy("document_id", edge("entity_id", "value_string").alias("child"), edge("value_string", "entity_id").alias("parent")).agg(F.count_if(up).alias("up"), F.count_if(down).alias("down"))
+    alone = both.filter("up = 0 OR down = 0").withColumn("entity_id", F.explode(F.array_repeat("child", (F.col("up") + F.col("down")).cast("int"))))  # an edge stated twice is two faults
+    return _violation(alone, "RECIPROCITY", F.concat(F.col("parent"), F.when(F.col("up") == 0, " has no parentId back").otherwise(" does not list it")))
 
 
 def variants(fields: DataFrame) -> DataFrame:
@@ -165,8 +177,12 @@ def typed_values(fields: DataFrame) -> DataFrame:
     at = F.regexp_replace("pointer", "/(type|value)$", "")
     inside = (F.col("collection") == "nodes") & F.col("pointer").isin("/value/type", "/value/value") | (F.col("collection") == "formulas") & F.col("pointer").rlike("^/values/(raw|stored|cached|computed)/(type|value)$")
     rows = fields.filter(inside).withColumn("at", at)
-    types = rows.filter("pointer LIKE '%/type'").select("document_id", "collection", "entity_id", "at", F.col("value_string").alias("type"))
-    values = rows.filter("pointer LIKE '%/value'").select("document_id", "collection", "entity_id", "at", "value_type", "value_string")
+    is_type = F.col("pointer").endswith("/type")
+    pairs = rows.groupBy("document_id", "collection", "entity_id", "at").agg(
+        F.collect_list(F.when(is_type, F.struct(F.col("value_string").alias("type")))).alias("types"), F.collect_list(F.when(~is_type, F.struct("value_type", "value_string"))).alias("values")
+    )
+    pairs = pairs.select("document_id", "collection", "entity_id", "at", "values", F.inline("types"))
+    found = pairs.select("document_id", "collection", "entity_id", "at", "type", F.inline_outer("values"))
     lane, text = F.coalesce("value_type", F.lit("null")), F.col("value_string")
     fault = (
         F.when((F.col("type") == "blank") & (lane != "null"), "blank value is not null")
@@ -177,8 +193,7 @@ def typed_values(fields: DataFrame) -> DataFrame:
         .when(F.col("type").isin("number", "decimal") & (lane == "string") & ~canonical_decimal(text), "decimal is not canonical")
         .when(F.col("type").isin("string", "date", "datetime", "error") & ~lane.isin("null", "string"), "textual value is not a string")
     )
-    found = types.join(values, ["document_id", "collection", "entity_id", "at"], "left").withColumn("fault", fault).filter("fault IS NOT NULL")
-    return _violation(found, "TYPED-VALUE", F.concat_ws(" ", "at", "fault"))
+    return _violation(found.withColumn("fault", fault).filter("fault IS NOT NULL"), "TYPED-VALUE", F.concat_ws(" ", "at", "fault"))
 
 
 def _has(pointer: str) -> Column:
@@ -187,16 +202,18 @@ def _has(pointer: str) -> Column:
 
 def node_rules(entities: DataFrame, fields: DataFrame) -> DataFrame:
     nodes = entities.filter("collection = 'nodes'")
-    out = _violation(nodes.filter(F.col("kind").isNull() | ~F.col("kind").isin(*NODE_KINDS)), "NODE-KIND", F.col("kind"))
     texts = F.coalesce(F.get_json_object("payload", "$.textIds"), F.lit("[]"))
     status = F.coalesce("status", F.lit(""))
-    out = out.unionByName(_violation(nodes.filter((F.col("kind") == "run") & (texts == "[]") & ~status.isin("unsupported", "omitted-by-policy")), "RUN-TEXT-MISSING"))
-    out = out.unionByName(_violation(nodes.filter((F.col("kind") == "cell") & ~_has("/address")), "CELL-ADDRESS-MISSING"))
-    out = out.unionByName(_violation(nodes.filter(F.col("kind").isin(*VISUAL_KINDS) & ~_has("/geometryId")), "GEOMETRY-MISSING"))
     banned = F.create_map(*[x for k, v in NODE_FORBIDDEN.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    keys = F.json_object_keys("payload")
-    bad = F.array_intersect(keys, F.coalesce(banned[F.col("kind")], F.array().cast("array<string>")))
-    out = out.unionByName(_violation(nodes.filter(F.size(bad) > 0), "NODE-VARIANT", F.array_join(bad, ",")))
+    bad = F.array_intersect(F.json_object_keys("payload"), F.coalesce(banned[F.col("kind")], F.array().cast("array<string>")))
+    out = _violations(
+        nodes.withColumn("bad", bad),
+        ("NODE-KIND", F.col("kind").isNull() | ~F.col("kind").isin(*NODE_KINDS), F.col("kind")),
+        ("RUN-TEXT-MISSING", (F.col("kind") == "run") & (texts == "[]") & ~status.isin("unsupported", "omitted-by-policy"), None),
+        ("CELL-ADDRESS-MISSING", (F.col("kind") == "cell") & ~_has("/address"), None),
+        ("GEOMETRY-MISSING", F.col("kind").isin(*VISUAL_KINDS) & ~_has("/geometryId"), None),
+        ("NODE-VARIANT", F.size("bad") > 0, F.array_join("bad", ",")),
+    )
     lists = fields.filter((F.col("collection") == "nodes") & F.col("pointer").rlike("^/(childIds|textIds|styleIds|layoutIds|annotationIds|resourceIds)/[0-9]+$"))
     twice = lists.groupBy("document_id", "entity_id", F.regexp_replace("pointer", "/[0-9]+$", "").alias("list"), "value_json").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return out.unionByName(_violation(twice, "DUPLICATE-MEMBER", F.col("list")))
@@ -213,33 +230,37 @@ def table_containment(entities: DataFrame, fields: DataFrame) -> DataFrame:
     member = fields.filter((F.col("collection") == "tables") & F.col("pointer").rlike("^/(rowIds|columnIds|cellIds)/[0-9]+$")).select("document_id", "entity_id", F.element_at(F.split("pointer", "/"), 2).alias("role"), F.col("value_string").alias("node_id"))
     owner = fields.filter("collection = 'tables' AND pointer = '/nodeId'").select("document_id", "entity_id", F.col("value_string").alias("table_node"))
     parent = fields.filter("collection = 'nodes' AND pointer = '/parentId'").select("document_id", F.col("entity_id").alias("node_id"), F.col("value_string").alias("parent_id"))
-    placed = member.join(owner, ["document_id", "entity_id"]).join(parent, ["document_id", "node_id"], "left")
+    # nothing tells how many fields come of a document, so no join is broadcast
+    placed = member.hint("merge").join(owner.hint("merge"), ["document_id", "entity_id"]).join(parent.hint("merge"), ["document_id", "node_id"], "left")
     rows = member.filter("role = 'rowIds'").select("document_id", "entity_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("in_row"))
-    placed = placed.join(rows, ["document_id", "entity_id", "parent_id"], "left")
+    placed = placed.join(rows.hint("merge"), ["document_id", "entity_id", "parent_id"], "left")
     bad = F.when(F.col("role") == "cellIds", F.col("in_row").isNull()).otherwise(~F.col("parent_id").eqNullSafe(F.col("table_node")))
     return _violation(placed.filter(bad), "TABLE-CONTAINMENT", F.concat_ws(" ", "role", "node_id"))
 
 
 def conversion_claims(entities: DataFrame, fields: DataFrame) -> DataFrame:
     """Conversion statuses that the recorded statuses and diagnostics contradict."""
-    surface = fields.filter(F.col("collection") == DOCUMENT)
-    claim = surface.filter("pointer = '/conversion/status'").select("document_id", F.col("value_string").alias("claim"))
-    documents = entities.filter(F.col("collection") == DOCUMENT).select("document_id", F.col("entity_id"))
-    losses = entities.filter(F.col("collection") != DOCUMENT).groupBy("document_id").agg(
-        F.bool_or(F.coalesce(F.col("status").isin(*PARTIAL), F.lit(False))).alias("lost"),
-        F.bool_or(F.coalesce((F.col("collection") == "diagnostics") & F.get_json_object("payload", "$.severity").isin("error", "fatal"), F.lit(False))).alias("error"),
-    )
-    listed = surface.groupBy("document_id").agg(
+    no = F.lit(False)
+    owned = entities.groupBy("document_id").agg(
+        F.collect_list(F.when(F.col("collection") == DOCUMENT, F.col("entity_id"))).alias("ids"),
+        F.bool_or(F.coalesce((F.col("collection") != DOCUMENT) & F.col("status").isin(*PARTIAL), no)).alias("lost"),
+        F.bool_or(F.coalesce((F.col("collection") == "diagnostics") & F.get_json_object("payload", "$.severity").isin("error", "fatal"), no)).alias("error"),
+    ).select("document_id", "lost", "error", F.explode("ids").alias("entity_id"))
+    listed = fields.filter(F.col("collection") == DOCUMENT).groupBy("document_id").agg(
+        F.collect_list(F.when(F.col("pointer") == "/conversion/status", F.struct(F.col("value_string").alias("claim")))).alias("claims"),
         F.bool_or(F.col("pointer").rlike("^/conversion/features/[0-9]+/status$") & F.col("value_string").isin(*PARTIAL)).alias("feature_lost"),
         F.count_if(F.col("pointer").rlike("^/conversion/diagnostics/[0-9]+$")).alias("diagnostics"), F.count_if(F.col("pointer").rlike("^/conversion/warnings/[0-9]+$")).alias("warnings"),
-    )
-    rows = documents.join(claim, "document_id", "left").join(losses, "document_id", "left").join(listed, "document_id", "left").withColumn("lost", F.coalesce("lost", F.lit(False)) | F.coalesce("feature_lost", F.lit(False))).fillna(False, ["error"])
+    ).select("*", F.inline_outer("claims"))
+    rows = owned.hint("merge").join(listed.hint("merge"), "document_id", "left").withColumn("lost", F.col("lost") | F.coalesce("feature_lost", no))
     is_complete = F.col("claim").isin("complete", "complete-with-warnings")
-    out = _violation(rows.filter(F.col("claim").isNull() | ~F.col("claim").isin(*CONVERSIONS)), "CONVERSION-STATUS", F.col("claim"))
-    out = out.unionByName(_violation(rows.filter(is_complete & (F.col("lost") | F.col("error"))), "COMPLETE-CLAIM"))
-    out = out.unionByName(_violation(rows.filter("(claim = 'complete' AND warnings > 0) OR (claim = 'complete-with-warnings' AND warnings = 0)"), "WARNING-STATUS"))
-    out = out.unionByName(_violation(rows.filter("claim = 'failed' AND (diagnostics = 0 OR NOT error)"), "FAILED-NO-ERROR"))
-    return out.unionByName(_violation(rows.filter("claim = 'partial' AND diagnostics = 0 AND NOT lost"), "PARTIAL-NO-EVIDENCE"))
+    return _violations(
+        rows,
+        ("CONVERSION-STATUS", F.col("claim").isNull() | ~F.col("claim").isin(*CONVERSIONS), F.col("claim")),
+        ("COMPLETE-CLAIM", is_complete & (F.col("lost") | F.col("error")), None),
+        ("WARNING-STATUS", F.expr("(claim = 'complete' AND warnings > 0) OR (claim = 'complete-with-warnings' AND warnings = 0)"), None),
+        ("FAILED-NO-ERROR", F.expr("claim = 'failed' AND (diagnostics = 0 OR NOT error)"), None),
+        ("PARTIAL-NO-EVIDENCE", F.expr("claim = 'partial' AND diagnostics = 0 AND NOT lost"), None),
+    )
 
 
 def inventory_mismatch(fields: DataFrame) -> DataFrame:
@@ -253,7 +274,7 @@ def inventory_mismatch(fields: DataFrame) -> DataFrame:
 
     features = part("features", ("feature", "status")).groupBy("document_id", "feature", "status").agg(F.count(F.lit(1)).alias("have"))
     stated = part("featureInventory", ("feature", "status", "occurrences")).groupBy("document_id", "feature", "status").agg(F.sum(F.col("occurrences").cast("long")).alias("stated"))
-    off = features.join(stated, ["document_id", "feature", "status"], "full").filter(~F.col("have").eqNullSafe(F.col("stated")))
+    off = features.hint("merge").join(stated.hint("merge"), ["document_id", "feature", "status"], "full").filter(~F.col("have").eqNullSafe(F.col("stated")))
     return _violation(off.withColumn("entity_id", F.col("document_id")), "INVENTORY-MISMATCH", F.concat_ws(" ", "feature", "status"))
 
 

@@ -53,3 +53,36 @@ def test_entities_of_files_are_those_of_their_documents(spark):
     whole = convert.convert_files(files)
     expected = facts.entities(whole.select("document_id", "ir_json")).join(whole.select("document_id", "path", "outcome"), "document_id").select(got.columns)
     assert got.count() > 10 and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+
+
+def plan(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name, passes", [("claim_faults", 2), ("node_faults", 2), ("typed_value_faults", 1), ("parent_faults", 1), ("reference_faults", 2), ("collection_counts", 1), ("document_field", 1)])
+def test_rules_pass_over_the_documents_once_for_each_table(spark, name, passes):
+    from factlattice import registry
+
+    assert plan(registry.queries()[name](spark, "/root/testdata/sf0.001")).count("MapInArrow") == passes
+
+
+@pytest.mark.parametrize("name, broadcasts", [("payload_references", 1), ("reference_faults", 1), ("claim_faults", 0), ("table_faults", 0)])
+def test_only_rules_are_broadcast(spark, name, broadcasts):
+    """What comes of a small table of documents may be large, which no estimate tells."""
+    from factlattice import registry
+
+    assert plan(registry.queries()[name](spark, "/root/testdata/sf0.001")).count("BroadcastExchange") == broadcasts
+
+
+def test_an_edge_stated_twice_is_two_faults(spark):
+    from factlattice.operators import validation
+
+    e = spark.createDataFrame([("d", "nodes", "a", "run", None, 0, '{"childIds":["b","b","c"]}'), ("d", "nodes", "c", "run", None, 1, '{"parentId":"a"}'), ("d", "nodes", "e", "run", None, 2, '{"parentId":"a"}')], facts.ENTITY_SCHEMA)
+    found = validation.reciprocity(facts.flatten(e)).select("entity_id", "detail").collect()
+    assert sorted(map(tuple, found)) == [("b", "a has no parentId back"), ("b", "a has no parentId back"), ("e", "a does not list it")]
+
+
+def test_templates_are_those_of_the_fields(spark):
+    e = spark.createDataFrame([("d", "x", "1", "k", None, 0, '{"a":[1,{"b":2}],"7":0}'), ("d", "x", "2", "k", None, 0, '{"a":[3]}'), ("d", "x", "3", "k", None, 0, None)], facts.ENTITY_SCHEMA)
+    whole = facts.flatten(e, with_root=False).groupBy("collection", F.regexp_replace("pointer", "/[0-9]+(?=/|$)", "/*").alias("template")).count()
+    assert sorted(map(tuple, facts.templates(e).collect())) == sorted(map(tuple, whole.collect()))
