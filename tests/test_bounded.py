@@ -86,3 +86,47 @@ def test_templates_are_those_of_the_fields(spark):
     e = spark.createDataFrame([("d", "x", "1", "k", None, 0, '{"a":[1,{"b":2}],"7":0}'), ("d", "x", "2", "k", None, 0, '{"a":[3]}'), ("d", "x", "3", "k", None, 0, None)], facts.ENTITY_SCHEMA)
     whole = facts.flatten(e, with_root=False).groupBy("collection", F.regexp_replace("pointer", "/[0-9]+(?=/|$)", "/*").alias("template")).count()
     assert sorted(map(tuple, facts.templates(e).collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("template", ["", "/a", "/a/*", "/a/1", "/a/01", "/a/*/b", "/**", "/a/**", "/x~1y/*", "/x~2y", "/none/*", "/*/*", "/a/9"])
+def test_a_template_visits_what_the_walk_would_find(template):
+    from factlattice.functions.pointers import segments, template_matches
+
+    value = {"a": [1, {"b": [2], "c": None}], "x/y": {"~": 1, "0": []}, "x~2y": 3}
+    expected = [row for row in facts.walk(value) if template_matches(segments(template), segments(row[0]))]
+    assert list(facts.walk_template(value, segments(template))) == expected
+
+
+def test_levels_of_a_tree_near_its_top_are_broadcast(spark):
+    """All nodes lie below one root: their join with its edge must not gather them in one task."""
+    from factlattice.operators import trees
+
+    edges = spark.range(2000).selectExpr("'d' AS document_id", "concat('p', id % 3) AS parent_id", "concat('n', id) AS child_id", "0 AS ordinal").unionByName(spark.sql("SELECT 'd' AS document_id, 'root' AS parent_id, concat('p', id) AS child_id, 0 AS ordinal FROM range(3)"))
+    nodes = spark.range(2000).selectExpr("'d' AS document_id", "concat('n', id) AS node_id")
+    found = trees.ancestors(edges, nodes).groupBy("node_id", "distance").count().collect()
+    assert sorted(map(tuple, found)) == [("p0", 1, 667), ("p1", 1, 667), ("p2", 1, 666), ("root", 2, 2000)]
+
+
+def test_a_cycle_is_walked_once(spark):
+    from factlattice.operators import trees
+
+    edges = spark.createDataFrame([("d", "r", "a", 0), ("d", "a", "b", 0), ("d", "b", "a", 0), ("d", "b", "r", 1), ("d", "x", "y", 0)], "document_id string, parent_id string, child_id string, ordinal int")
+    roots = spark.createDataFrame([("d", "r")], "document_id string, root_id string")
+    assert sorted(r.node_id for r in trees.reached(edges, roots).collect()) == ["a", "b", "r"]
+    nodes = spark.createDataFrame([("d", k) for k in "rabxy"], "document_id string, node_id string")
+    assert sorted((r.node_id, r.code) for r in trees.reachability(edges, nodes, roots).collect()) == [("a", "several-parents"), ("x", "orphan"), ("x", "unreachable"), ("y", "unreachable")]
+
+
+def test_rules_meet_cells_without_a_row_for_each_hit(spark):
+    """Cells given twice, a rule by two ranges, a stop and a later block."""
+    from factlattice.operators import styles
+
+    cells = spark.createDataFrame([("s", 1, 1, "5"), ("s", 1, 1, "50"), ("s", 2, 1, "5"), ("s", 3, 9, "5")], "sheet string, row int, column int, raw_value string")
+    rules = spark.createDataFrame(
+        [("s", 1, "A1:A9 A1:B2", 1, "greaterThan", "=40", "stop", True), ("s", 1, "A1:A9", 2, "lessThan", "9", "low", False), ("s", 2, "A2", 1, "", "5", "own", False), ("s", 1, "A1:Z9", 0, "equal", "5", "gone", True)],
+        "sheet string, block int, sqref string, priority int, operator string, operand string, style_id string, stop boolean",
+    )
+    declared = spark.createDataFrame([("stop", "color", "red"), ("low", "color", "blue"), ("low", "bold", "1"), ("own", "color", "green")], "style_id string, property string, value string")
+    found = styles.conditional_winners(cells, rules, declared)
+    assert sorted(map(tuple, found.select("row", "property", "value", "priority").collect())) == [(1, "color", "red", 1), (2, "bold", "1", 2), (2, "color", "green", 1)]
+    assert "Window" not in plan(found)
