@@ -130,3 +130,21 @@ def test_rules_meet_cells_without_a_row_for_each_hit(spark):
     found = styles.conditional_winners(cells, rules, declared)
     assert sorted(map(tuple, found.select("row", "property", "value", "priority").collect())) == [(1, "color", "red", 1), (2, "bold", "1", 2), (2, "color", "green", 1)]
     assert "Window" not in plan(found)
+
+
+def test_columns_of_any_number_of_letters(spark):
+    from factlattice.functions import values
+
+    numbers = [1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 1_200_000, 12356630, 12356631, 2**31, 2**63 - 1, 0, -1, None]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", values.column_letters(F.col("n")).alias("a")).collect()
+
+    def letters(n):
+        out = ""
+        while n and n > 0:
+            n, rest = divmod(n - 1, 26)
+            out = chr(65 + rest) + out
+        return out
+
+    assert [(r.n, r.a) for r in rows] == [(n, letters(n)) for n in numbers]
+    far = spark.range(475_000, 1_200_000, 999).select("id", values.parse_a1(values.a1(F.lit(1), F.col("id")))["column"].alias("back"))
+    assert far.filter("NOT back <=> id").count() == 0
